@@ -1,14 +1,12 @@
-"""Percentiles of disk hours, for failed and never-failed disks."""
+"""Statistics of disk hours, for failed and never-failed disks."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
 from spindlewatch.schema import QUARTILES
 
@@ -21,24 +19,17 @@ def _fences(probs: Mapping[str, float], accuracy: int) -> list[float]:
     return sorted({min(max(p + side * margin, 0.0), 1.0) for p in probs.values() for side in (-1, 1)})
 
 
-def _ranks(p: float, n: Column) -> tuple[Column, Column]:
-    """The two 1-based ranks whose values are averaged: n*p and the next one, or twice the one after floor(n*p)."""
-    product = n * F.lit(p)
-    low = F.ceil(product)
-    return low, F.when(product == F.floor(product), low + 1).otherwise(low)
-
-
-def percentiles_exact(
+def stats_exact(
     disks: DataFrame,
     flag: str = "failure",
     value: str = "s9_power_on_hours",
     probs: Mapping[str, float] = QUARTILES,
     accuracy: int = ACCURACY,
 ) -> DataFrame:
-    """Exact percentiles of ``value`` per boolean ``flag``, averaging the two middle values at a tie.
+    """Minimum, exact percentiles, maximum and row count of ``value`` per boolean ``flag``.
 
     With n values in order, the percentile p is the mean of the values number n*p and n*p + 1 if n*p is whole,
-    else the value number floor(n*p) + 1.
+    else the value number floor(n*p) + 1. Null values count as rows only.
 
     There are only two flags, so nothing here may gather a flag's values in one task. Instead:
 
@@ -49,7 +40,7 @@ def percentiles_exact(
     4. Only those stretches are sorted, each in its own task, to read off the values.
 
     The result is exact wherever the fences lie. The sketch's error bound only decides how short the sorted
-    stretches are: about ``6 / accuracy`` of a flag's disks. The frames that are broadcast have one row per value of
+    stretches are: about ``6 / accuracy`` of a flag's rows. The frames that are broadcast have one row per value of
     a boolean, three at most.
     """
     if not isinstance(disks.schema[flag].dataType, T.BooleanType):
@@ -58,73 +49,90 @@ def percentiles_exact(
         raise ValueError("probabilities must lie strictly between 0 and 1")
 
     fences = _fences(probs, accuracy)
-    readings = disks.select(F.col(flag).alias("flag"), F.col(value).alias("value")).where("value IS NOT NULL")
-    cuts = readings.groupBy("flag").agg(F.percentile_approx("value", fences, accuracy).alias("cuts"))
+    stretches = range(len(fences) + 1)
+    readings = disks.select(F.col(flag).alias("flag"), F.col(value).cast("double").alias("value"))
     counted = readings.groupBy("flag", "value").agg(F.count("*").alias("n"))
+    cuts = readings.groupBy("flag").agg(F.percentile_approx("value", fences, accuracy).alias("cuts"))
 
-    # The stretch of a value is the number of fences below it.
-    stretch = reduce(
-        lambda a, b: a + b,
-        [(F.col("value") > F.col("cuts")[i]).cast("int") for i in range(len(fences))],
-    )
+    # The stretch of a value is the number of fences below it; rows without a value go to stretch -1.
+    fences_below = " + ".join(f"CAST(value > cuts[{i}] AS INT)" for i in range(len(fences)))
     placed = (
-        counted.join(F.broadcast(cuts.withColumnRenamed("flag", "cut_flag")), F.expr("flag <=> cut_flag"))
-        .select("flag", "value", "n", stretch.alias("stretch"))
+        counted.join(F.broadcast(cuts.withColumnRenamed("flag", "cuts_flag")), F.expr("flag <=> cuts_flag"))
+        .selectExpr("flag", "value", "n", f"coalesce({fences_below}, -1) AS stretch")
     )
 
-    # One row per flag: the total, each stretch's count, and from these where each wanted rank lies.
+    # One row per flag: the size of each stretch, hence where each wanted rank lies.
     sizes = placed.groupBy("flag").agg(
-        F.sum("n").alias("total"),
-        *[F.sum(F.when(F.col("stretch") == i, F.col("n")).otherwise(0)).alias(f"size_{i}")
-          for i in range(len(fences) + 1)],
+        F.min("value").alias("low"),
+        F.max("value").alias("high"),
+        F.sum("n").alias("rows"),
+        F.expr("coalesce(sum(n) FILTER (WHERE stretch >= 0), 0)").alias("total"),
+        *[F.expr(f"coalesce(sum(n) FILTER (WHERE stretch < {i}), 0) - "
+                 f"coalesce(sum(n) FILTER (WHERE stretch < 0), 0)").alias(f"start_{i}") for i in stretches],
+    )
+    starts = ", ".join(f"start_{i}" for i in stretches)
+    ranks = ", ".join(
+        f"CAST(ceil(total * {p!r}D) AS BIGINT), CAST(floor(total * {p!r}D) + 1 AS BIGINT)" for p in probs.values()
     )
-    ends = [
-        reduce(lambda a, b: a + b, [F.col(f"size_{j}") for j in range(i + 1)]) for i in range(len(fences) + 1)
-    ]
-    wanted = {}
-    for name, p in probs.items():
-        wanted[f"{name}/low"], wanted[f"{name}/high"] = _ranks(p, F.col("total"))
-    located = sizes.select(
-        F.col("flag").alias("sizes_flag"),
-        F.array(*[F.lit(0).cast("long"), *ends[:-1]]).alias("starts"),
-        F.array(*[
-            reduce(lambda a, b: a + b, [(rank > end).cast("int") for end in ends]) for rank in wanted.values()
-        ]).alias("stretches"),
-        F.array(*wanted.values()).alias("ranks"),
+    located = (
+        sizes.selectExpr("flag AS sizes_flag", "low", "high", "rows", f"array({starts}) AS starts",
+                         f"array({ranks}) AS ranks")
+        .withColumn("holding", F.expr("transform(ranks, r -> size(filter(starts, s -> s < r)) - 1)"))
     )
 
-    in_order = W.partitionBy("flag", "stretch").orderBy("value").rowsBetween(W.unboundedPreceding, W.currentRow)
     ranked = (
         placed.join(
             F.broadcast(located),
-            F.expr("flag <=> sizes_flag AND array_contains(stretches, stretch)"),
+            F.expr("flag <=> sizes_flag AND (stretch < 0 OR array_contains(holding, stretch))"),
+        )
+        .withColumn("last_rank", F.expr(
+            "CASE WHEN stretch >= 0 THEN starts[stretch] + sum(n) OVER (PARTITION BY flag, stretch ORDER BY value "
+            "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END"
+        ))
+    )
+    middle = {
+        name: tuple(
+            f"max(value) FILTER (WHERE ranks[{2 * i + side}] > last_rank - n AND ranks[{2 * i + side}] <= last_rank)"
+            for side in (0, 1)
         )
-        .withColumn("last_rank", F.col("starts")[F.col("stretch")] + F.sum("n").over(in_order))
-        .withColumn("first_rank", F.col("last_rank") - F.col("n") + 1)
+        for i, name in enumerate(probs)
+    }
+    return ranked.groupBy(F.col("flag").alias(flag)).agg(
+        F.first("low").alias("min"),
+        *[F.expr(f"CASE WHEN {a} = {b} THEN {a} ELSE ({a} + {b}) / 2 END").alias(name)
+          for name, (a, b) in middle.items()],
+        F.first("high").alias("max"),
+        F.first("rows").alias("count"),
     )
 
-    def value_at(position: int) -> Column:
-        rank = F.col("ranks")[position]
-        return F.max(F.when(rank.between(F.col("first_rank"), F.col("last_rank")), F.col("value")))
 
-    positions = {key: i for i, key in enumerate(wanted)}
-    columns = []
-    for name in probs:
-        low, high = value_at(positions[f"{name}/low"]), value_at(positions[f"{name}/high"])
-        columns.append(F.when(low == high, low).otherwise((low + high) / 2).alias(name))
-    return ranked.groupBy(F.col("flag").alias(flag)).agg(*columns)
+def percentiles_exact(
+    disks: DataFrame,
+    flag: str = "failure",
+    value: str = "s9_power_on_hours",
+    probs: Mapping[str, float] = QUARTILES,
+    accuracy: int = ACCURACY,
+) -> DataFrame:
+    """The percentiles of :func:`stats_exact` alone."""
+    return stats_exact(disks, flag, value, probs, accuracy).select(flag, *probs)
 
 
-def percentiles_approx(
+def stats_approx(
     disks: DataFrame,
     flag: str = "failure",
     value: str = "s9_power_on_hours",
     probs: Mapping[str, float] = QUARTILES,
     accuracy: int = ACCURACY,
 ) -> DataFrame:
-    """Approximate percentiles per ``flag`` from one sketch for all ``probs``; rank error at most n / accuracy."""
+    """As :func:`stats_exact` with approximate percentiles from one sketch; rank error at most n / accuracy."""
     quantiles = F.percentile_approx(value, list(probs.values()), accuracy)
     return (
-        disks.groupBy(flag).agg(quantiles.alias("quantiles"))
-        .select(flag, *[F.col("quantiles")[i].alias(name) for i, name in enumerate(probs)])
+        disks.groupBy(flag)
+        .agg(
+            F.min(value).alias("min"),
+            quantiles.alias("quantiles"),
+            F.max(value).alias("max"),
+            F.count("*").alias("count"),
+        )
+        .select(flag, "min", *[F.col("quantiles")[i].alias(name) for i, name in enumerate(probs)], "max", "count")
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindlewatch.functions.percentiles import ACCURACY, percentiles_exact
+from spindlewatch.functions.percentiles import ACCURACY, stats_approx, stats_exact
 from spindlewatch.operators.disks import disk_collapse
 from spindlewatch.operators.failures import (
     failures_by_day_vault,
@@ -17,7 +17,7 @@ from spindlewatch.operators.failures import (
     with_count_in,
 )
 from spindlewatch.operators.ranking import top_k
-from spindlewatch.schema import HOURS_STATS, QUARTILES, TOP_MODELS, TOP_VAULTS, VAULT_DAYS
+from spindlewatch.schema import HOURS_STATS, TOP_MODELS, TOP_VAULTS, VAULT_DAYS
 
 
 def vault_days(df: DataFrame, counts: tuple[int, ...] = (2, 3, 4)) -> DataFrame:
@@ -55,35 +55,17 @@ def top_vaults_from(partial: DataFrame, k: int = 10) -> DataFrame:
     )
 
 
-def hours_stats(df: DataFrame, hours: str = "max", accuracy: int = ACCURACY) -> DataFrame:
-    """Minimum, exact quartiles, maximum and number of disks, for never-failed (0) and failed (1) disks."""
-    disks = disk_collapse(df, hours)
-    totals = disks.groupBy("failure").agg(
-        F.min("s9_power_on_hours").alias("min"),
-        F.max("s9_power_on_hours").alias("max"),
-        F.count("*").alias("count"),
-    )
-    quartiles = percentiles_exact(disks, accuracy=accuracy).withColumnRenamed("failure", "flag")
+def _hours_report(stats: DataFrame) -> DataFrame:
     return HOURS_STATS.sorted(
-        totals.join(F.broadcast(quartiles), F.expr("failure <=> flag"), "left")
-        .withColumn("failure", F.col("failure").cast("int"))
-        .select(*HOURS_STATS.schema.names)
+        stats.withColumn("failure", F.col("failure").cast("int")).select(*HOURS_STATS.schema.names)
     )
 
 
+def hours_stats(df: DataFrame, hours: str = "max", accuracy: int = ACCURACY) -> DataFrame:
+    """Minimum, exact quartiles, maximum and number of disks, for never-failed (0) and failed (1) disks."""
+    return _hours_report(stats_exact(disk_collapse(df, hours), accuracy=accuracy))
+
+
 def hours_stats_approx(df: DataFrame, hours: str = "max", accuracy: int = ACCURACY) -> DataFrame:
     """As :func:`hours_stats`, with approximate quartiles: one pass over the disks."""
-    quantiles = F.percentile_approx("s9_power_on_hours", list(QUARTILES.values()), accuracy)
-    return HOURS_STATS.sorted(
-        disk_collapse(df, hours)
-        .groupBy("failure")
-        .agg(
-            F.min("s9_power_on_hours").alias("min"),
-            quantiles.alias("quantiles"),
-            F.max("s9_power_on_hours").alias("max"),
-            F.count("*").alias("count"),
-        )
-        .withColumns({name: F.col("quantiles")[i] for i, name in enumerate(QUARTILES)})
-        .withColumn("failure", F.col("failure").cast("int"))
-        .select(*HOURS_STATS.schema.names)
-    )
+    return _hours_report(stats_approx(disk_collapse(df, hours), accuracy=accuracy))
