@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import time
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from contextlib import contextmanager
 
 from pyspark import StorageLevel
@@ -12,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from spindlewatch.operators.cleaning import clean
 from spindlewatch.operators.failures import failures_by_day_vault_model
 from spindlewatch.plans import reports, sql_reports
+from spindlewatch.plans.timing import timed
 from spindlewatch.schema import HOURS_STATS, REPORTS, TOP_MODELS, TOP_VAULTS, VAULT_DAYS, Report
 from spindlewatch.sinks.key_value import to_key_value
 from spindlewatch.sinks.tables import write_result, write_telemetry
@@ -47,9 +47,10 @@ def prepare(
     clean_path: str,
     fmt: str = "parquet",
     dedup: str | None = "projected",
+    cluster_by: Sequence[str] = (),
 ) -> DataFrame:
     """Clean the raw table into ``clean_path`` and return what was written there."""
-    write_telemetry(clean(read_raw(spark, raw_path, fmt), dedup), clean_path, fmt)
+    write_telemetry(clean(read_raw(spark, raw_path, fmt), dedup), clean_path, fmt, cluster_by=cluster_by)
     return read_telemetry(spark, clean_path, fmt)
 
 
@@ -98,12 +99,12 @@ def process(
 
     def write(frames: Mapping[str, Callable[[], DataFrame]], prefix: str) -> None:
         for name, query_reports in selected:
-            start = time.perf_counter()
+            seconds = 0.0
             for base in query_reports:
                 report = base.renamed(prefix + base.name)
-                write_result(frames[base.name](), out_dir, report)
+                seconds += timed(lambda: write_result(frames[base.name](), out_dir, report))
                 written[report.name] = report
-            timings.append((prefix + name, fmt, worker_nodes, time.perf_counter() - start))
+            timings.append((prefix + name, fmt, worker_nodes, seconds))
 
     if surface in ("core", "both"):
         with shared(failures_by_day_vault_model(df)) as partial:

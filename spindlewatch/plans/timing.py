@@ -11,13 +11,18 @@ from pyspark.sql import functions as F
 from spindlewatch.sinks.timing_log import timing_frame
 
 
-def run_seconds(frame: DataFrame) -> float:
-    """Seconds to compute every row of ``frame``; the ``noop`` sink discards them on the executors."""
+def timed(action: Callable[[], object]) -> float:
+    """Seconds that ``action`` takes."""
     start = time.perf_counter()
-    frame.write.format("noop").mode("overwrite").save()
+    action()
     return time.perf_counter() - start
 
 
+def run_seconds(frame: DataFrame) -> float:
+    """Seconds to compute every row of ``frame``; the ``noop`` sink discards them on the executors."""
+    return timed(frame.write.format("noop").mode("overwrite").save)
+
+
 def measure(
     spark: SparkSession,
     frames: Mapping[str, Callable[[], DataFrame]],

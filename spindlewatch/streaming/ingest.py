@@ -38,7 +38,7 @@ def append_new(batch: DataFrame, path: str, fmt: str = "parquet") -> None:
         if first_day is None:
             return
         held = read_telemetry(spark, path, fmt).where(F.col("event_date").between(first_day, last_day))
-        write_telemetry(rows.join(held, TELEMETRY.names, "left_anti"), path, fmt, LAYOUT, mode="append")
+        write_telemetry(rows.join(held, TELEMETRY.names, "left_anti"), path, fmt, partition_by=LAYOUT, mode="append")
     finally:
         rows.unpersist()
 
@@ -54,7 +54,7 @@ def ingest(
     Run it again when more has arrived; ``checkpoint`` remembers which files are done.
     """
     spark = raw.sparkSession
-    write_telemetry(spark.createDataFrame([], TELEMETRY), path, fmt, LAYOUT, mode="append")
+    write_telemetry(spark.createDataFrame([], TELEMETRY), path, fmt, partition_by=LAYOUT, mode="append")
     return (
         raw.writeStream
         .foreachBatch(lambda batch, _: append_new(batch, path, fmt))

@@ -1,0 +1,52 @@
+import pytest
+
+from spindlewatch.operators.disks import disk_collapse, hours_min_max_count
+from spindlewatch.plans import reports
+from tests.helpers import telemetry
+
+ROWS = [
+    (1, "EARLY", "A", True, 1, 10.0),
+    (2, "EARLY", "A", False, 1, 34.0),
+    (1, "RESET", "A", False, 1, 500.0),
+    (2, "RESET", "A", False, 1, 3.0),
+    (2, "RESET", "A", False, 1, 5.0),
+    (1, "SINGLE", "A", False, 1, 7.0),
+    (1, "SHARED", "A", False, 1, 8.0),
+    (1, "SHARED", "B", True, 2, 9.0),
+]
+
+
+def test_collapse_to_the_largest_reading(spark):
+    assert sorted(disk_collapse(telemetry(spark, ROWS)).collect()) == [
+        ("EARLY", True, 34.0), ("RESET", False, 500.0), ("SHARED", True, 9.0), ("SINGLE", False, 7.0),
+    ]
+
+
+def test_collapse_to_the_reading_of_the_last_day(spark):
+    assert sorted(disk_collapse(telemetry(spark, ROWS), "latest").collect()) == [
+        ("EARLY", True, 34.0), ("RESET", False, 5.0), ("SHARED", True, 9.0), ("SINGLE", False, 7.0),
+    ]
+
+
+def test_unknown_mode(spark):
+    with pytest.raises(ValueError):
+        disk_collapse(telemetry(spark, ROWS), "first")
+
+
+def test_min_max_count(spark):
+    disks = disk_collapse(telemetry(spark, ROWS))
+    assert sorted(hours_min_max_count(disks).collect()) == [(0, 7.0, 500.0, 2), (1, 9.0, 34.0, 2)]
+
+
+def test_report_counts_disks_and_not_rows(spark):
+    df = telemetry(spark, ROWS)
+    assert reports.hours_stats(df).collect() == [
+        (0, 7.0, 7.0, 253.5, 500.0, 500.0, 2), (1, 9.0, 9.0, 21.5, 34.0, 34.0, 2),
+    ]
+    assert [r["max"] for r in reports.hours_stats(df, "latest").collect()] == [7.0, 34.0]
+
+
+def test_report_has_no_row_for_an_absent_flag(spark):
+    df = telemetry(spark, [r for r in ROWS if r[1] in ("RESET", "SINGLE")])
+    assert [r.failure for r in reports.hours_stats(df).collect()] == [0]
+    assert reports.hours_stats(telemetry(spark, [])).collect() == []

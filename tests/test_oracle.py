@@ -1,5 +1,6 @@
 """Every registered query against DuckDB on the same tables."""
 
+import os
 from pathlib import Path
 
 import duckdb
@@ -7,7 +8,7 @@ import pytest
 
 import __spark_entry__ as contract
 
-SCALES = ("sf0.001", "sf0.01")
+SCALES = os.environ.get("ORACLE_SCALES", "sf0.001,sf0.01").split(",")
 ORACLES = contract.oracle_sql()
 
 
