@@ -99,9 +99,9 @@ def _stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _shared_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
     directory = scratch_path(spark, "results")
-    with job.shared(failures.failures_by_vault_model(_cleaned(spark, sf_dir))) as partial:
-        write_result(reports.top_models_from(partial), directory, TOP_MODELS)
-        write_result(reports.top_vaults_from(partial), directory, TOP_VAULTS)
+    partial = job.materialize(failures.failures_by_vault_model(_cleaned(spark, sf_dir)), f"{directory}/partial")
+    write_result(reports.top_models_from(partial), directory, TOP_MODELS)
+    write_result(reports.top_vaults_from(partial), directory, TOP_VAULTS)
     models = read_result(spark, directory, TOP_MODELS).selectExpr("model AS name", "failures_count")
     vaults = read_result(spark, directory, TOP_VAULTS).selectExpr("CAST(vault_id AS STRING) AS name", "failures_count")
     return models.unionByName(vaults)
@@ -116,15 +116,18 @@ def _job(name: str, surface: str) -> Query:
     return run
 
 
-def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch_path(spark, "telemetry")
-    write_telemetry(_cleaned(spark, sf_dir), path)
-    table = read_telemetry(spark, path)
-    log = timing.measure(spark, {
-        "query1": lambda: reports.vault_days(table),
-        "sql-query1": lambda: sql_reports.vault_days_sql(spark, table),
-    }, runs=2)
-    return timing.mean_times(log)
+def _evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw_path = scratch_path(spark, "raw")
+    _raw(spark, sf_dir).write.parquet(raw_path)
+    return job.evaluate(spark, {"parquet": raw_path}, scratch_path(spark, "evaluation"), runs=1)
+
+
+def _own_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sql_reports.register_views(spark, _cleaned(spark, sf_dir))
+    return spark.sql(
+        f"SELECT model, sum(failures_count) AS failures_count FROM {sql_reports.PARTIAL_VIEW} "
+        f"WHERE model IN (SELECT model FROM {sql_reports.TELEMETRY_VIEW} WHERE failure) GROUP BY model"
+    )
 
 
 def queries() -> dict[str, Query]:
@@ -183,6 +186,7 @@ def queries() -> dict[str, Query]:
         "hours_stats_latest": _on_reset(lambda df: reports.hours_stats(df, "latest")),
         "hours_stats_approx": _on_cleaned(lambda df: reports.hours_stats_approx(df, accuracy=FINE_ACCURACY)),
         # SQL text
+        "sql_views": _own_sql,
         "sql_vault_days": _sql(sql_reports.vault_days_sql),
         "sql_failures_by_vault_model": _sql(sql_reports.partial_sql),
         "sql_top_models": _sql(sql_reports.top_models_sql),
@@ -196,7 +200,7 @@ def queries() -> dict[str, Query]:
         "job_hours_stats": _job("query3", "both"),
         "bench_rollup": _on_log(timing.mean_times),
         "bench_totals": _on_log(timing.total_times),
-        "bench_measured": _measured,
+        "evaluation": _evaluation,
     }
 
 
@@ -346,6 +350,7 @@ def oracle_sql() -> dict[str, str]:
         "hours_stats": _stats_sql("disks", _STATS),
         "hours_stats_latest": _stats_sql("latest", _STATS),
         "hours_stats_approx": _STATS_APPROX,
+        "sql_views": "SELECT * FROM by_model",
         "sql_vault_days": _VAULT_DAYS,
         "sql_failures_by_vault_model": _BY_VAULT_MODEL,
         "sql_top_models": _TOP_MODELS.format(k=10),

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from spindlewatch.operators.cleaning import clean
 from spindlewatch.operators.failures import failures_by_day_vault_model
 from spindlewatch.plans import reports, sql_reports
-from spindlewatch.plans.job import shared
+from spindlewatch.plans.job import materialize
 from spindlewatch.plans.timing import run_seconds, timed
 from spindlewatch.shared import scratch_path
 from spindlewatch.sinks.tables import write_telemetry
@@ -49,9 +49,9 @@ def median_of(case: Callable[[], float]) -> float:
 def failure_reports(table: DataFrame) -> float:
     """All three failure reports from one scan, as the batch job runs them."""
     def all_three() -> None:
-        with shared(failures_by_day_vault_model(table)) as partial:
-            for report in (reports.vault_days_from, reports.top_models_from, reports.top_vaults_from):
-                run_seconds(report(partial))
+        partial = materialize(failures_by_day_vault_model(table), scratch_path(table.sparkSession, "partial"))
+        for report in (reports.vault_days_from, reports.top_models_from, reports.top_vaults_from):
+            run_seconds(report(partial))
 
     return timed(all_three)
 

@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping, Sequence
-from contextlib import contextmanager
+from collections.abc import Callable, Mapping, Sequence
+from functools import cache
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from spindlewatch.operators.cleaning import clean
-from spindlewatch.operators.failures import failures_by_day_vault_model
+from spindlewatch.operators.failures import failures_by_day_vault_model, failures_by_vault_model
 from spindlewatch.plans import reports, sql_reports
-from spindlewatch.plans.timing import timed
-from spindlewatch.schema import HOURS_STATS, REPORTS, TOP_MODELS, TOP_VAULTS, VAULT_DAYS, Report
+from spindlewatch.plans.timing import mean_times, timed
+from spindlewatch.schema import AVERAGES, HOURS_STATS, REPORTS, TOP_MODELS, TOP_VAULTS, VAULT_DAYS, Report
 from spindlewatch.sinks.key_value import to_key_value
 from spindlewatch.sinks.tables import write_result, write_telemetry
 from spindlewatch.sinks.timing_log import append_timings, timing_frame
-from spindlewatch.sources.tables import read_raw, read_result, read_telemetry
+from spindlewatch.sources.tables import read_raw, read_result, read_telemetry, read_timing_log
 
 # Query selectors, the queries' names and the reports each one writes.
 QUERIES = {
@@ -31,14 +30,14 @@ SQL_PREFIX = "sql-"
 EXPORT_SPLIT = {VAULT_DAYS.name: ("event_date",)}
 
 
-@contextmanager
-def shared(df: DataFrame) -> Iterator[DataFrame]:
-    """Keep ``df`` for several actions. Blocks lost with an executor are computed again from the source."""
-    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        yield kept
-    finally:
-        kept.unpersist()
+def materialize(df: DataFrame, path: str) -> DataFrame:
+    """Write an intermediate result that several actions read, and return what was written.
+
+    Unlike cached blocks, the table outlives any executor, and adaptive execution sizes its files: a cached frame
+    keeps one block per shuffle partition, however small.
+    """
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def prepare(
@@ -54,20 +53,29 @@ def prepare(
     return read_telemetry(spark, clean_path, fmt)
 
 
-def _core(df: DataFrame, partial: DataFrame) -> dict[str, Callable[[], DataFrame]]:
+def _core(df: DataFrame, query: str, partial_path: str) -> dict[str, Callable[[], DataFrame]]:
+    @cache
+    def partial() -> DataFrame:
+        counts = failures_by_day_vault_model(df) if query == "all" else failures_by_vault_model(df)
+        return materialize(counts, partial_path)
+
     return {
-        VAULT_DAYS.name: lambda: reports.vault_days_from(partial),
-        TOP_MODELS.name: lambda: reports.top_models_from(partial),
-        TOP_VAULTS.name: lambda: reports.top_vaults_from(partial),
+        VAULT_DAYS.name: lambda: reports.vault_days_from(partial()) if query == "all" else reports.vault_days(df),
+        TOP_MODELS.name: lambda: reports.top_models_from(partial()),
+        TOP_VAULTS.name: lambda: reports.top_vaults_from(partial()),
         HOURS_STATS.name: lambda: reports.hours_stats(df),
     }
 
 
-def _sql(spark: SparkSession, df: DataFrame) -> dict[str, Callable[[], DataFrame]]:
+def _sql(spark: SparkSession, df: DataFrame, partial_path: str) -> dict[str, Callable[[], DataFrame]]:
+    @cache
+    def partial() -> DataFrame:
+        return materialize(sql_reports.partial_sql(spark, df), partial_path)
+
     return {
         VAULT_DAYS.name: lambda: sql_reports.vault_days_sql(spark, df),
-        TOP_MODELS.name: lambda: sql_reports.top_models_sql(spark, df),
-        TOP_VAULTS.name: lambda: sql_reports.top_vaults_sql(spark, df),
+        TOP_MODELS.name: lambda: sql_reports.top_models_sql_from(spark, partial()),
+        TOP_VAULTS.name: lambda: sql_reports.top_vaults_sql_from(spark, partial()),
         HOURS_STATS.name: lambda: sql_reports.hours_stats_sql(spark, df),
     }
 
@@ -84,9 +92,9 @@ def process(
 ) -> dict[str, DataFrame]:
     """Write the selected reports below ``out_dir`` and return the written results by name.
 
-    The three failure reports share one small partial, failures per (day, vault, model), so that they scan the
-    table once between them; it is kept only while they run. ``timings_path`` appends one row per query to the
-    run-time log, from scan to written result.
+    The failure reports share one small partial, the failures per (day, vault, model), so that they scan the table
+    once between them. It is written beside the results by the first report that needs it. ``timings_path`` appends
+    one row per query to the run-time log, from scan to written result.
     """
     if query != "all" and query not in QUERIES:
         raise ValueError(f"query must be one of {', '.join(QUERIES)} or all, not {query!r}")
@@ -107,10 +115,9 @@ def process(
             timings.append((prefix + name, fmt, worker_nodes, seconds))
 
     if surface in ("core", "both"):
-        with shared(failures_by_day_vault_model(df)) as partial:
-            write(_core(df, partial), "")
+        write(_core(df, query, f"{out_dir}/failure_counts.parquet"), "")
     if surface in ("sql", "both"):
-        write(_sql(spark, df), SQL_PREFIX)
+        write(_sql(spark, df, f"{out_dir}/{SQL_PREFIX}failure_counts.parquet"), SQL_PREFIX)
     if timings_path:
         append_timings(timing_frame(spark, timings), timings_path)
     return {name: read_result(spark, out_dir, report) for name, report in written.items()}
@@ -141,3 +148,28 @@ def key_values(results: Mapping[str, DataFrame]) -> DataFrame:
     for frame in frames[1:]:
         pairs = pairs.unionByName(frame)
     return pairs
+
+
+def evaluate(
+    spark: SparkSession,
+    raw_paths: Mapping[str, str],
+    work_dir: str,
+    runs: int = 10,
+    worker_nodes: int = 1,
+) -> DataFrame:
+    """Run all reports on both surfaces ``runs`` times per format, log every run, and write and return the means.
+
+    ``raw_paths`` maps a format to the raw table in it. Each run reads the cleaned table anew; nothing is cached
+    between runs.
+    """
+    log_path = f"{work_dir}/evaluation.csv"
+    for fmt, raw_path in raw_paths.items():
+        clean_path = f"{work_dir}/preprocessed.{fmt}"
+        prepare(spark, raw_path, clean_path, fmt)
+        for _ in range(runs):
+            process(
+                spark, clean_path, f"{work_dir}/results", "all", "both", fmt,
+                timings_path=log_path, worker_nodes=worker_nodes,
+            )
+    write_result(mean_times(read_timing_log(spark, log_path)), work_dir, AVERAGES)
+    return read_result(spark, work_dir, AVERAGES)

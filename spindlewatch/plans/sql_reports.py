@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from spindlewatch.functions.percentiles import ACCURACY
 
+# The names under which cleaned telemetry and its partial are registered for SQL of one's own.
+TELEMETRY_VIEW = "DisksMonitor"
+PARTIAL_VIEW = "VaultModelFailures"
+
 VAULT_DAYS_SQL = """
 SELECT event_date, vault_id, count(*) AS failures_count
 FROM {t}
@@ -59,6 +63,12 @@ ORDER BY failure
 """
 
 
+def register_views(spark: SparkSession, df: DataFrame) -> None:
+    """Make cleaned telemetry and its (vault, model) failure counts available to ``spark.sql`` by name."""
+    df.createOrReplaceTempView(TELEMETRY_VIEW)
+    partial_sql(spark, df).createOrReplaceTempView(PARTIAL_VIEW)
+
+
 def vault_days_sql(spark: SparkSession, df: DataFrame, counts: tuple[int, ...] = (2, 3, 4)) -> DataFrame:
     return spark.sql(VAULT_DAYS_SQL, args={"counts": [int(c) for c in counts]}, t=df)
 
@@ -68,11 +78,19 @@ def partial_sql(spark: SparkSession, df: DataFrame) -> DataFrame:
 
 
 def top_models_sql(spark: SparkSession, df: DataFrame, k: int = 10) -> DataFrame:
-    return spark.sql(TOP_MODELS_SQL, args={"k": k}, partial=partial_sql(spark, df))
+    return top_models_sql_from(spark, partial_sql(spark, df), k)
+
+
+def top_models_sql_from(spark: SparkSession, partial: DataFrame, k: int = 10) -> DataFrame:
+    return spark.sql(TOP_MODELS_SQL, args={"k": k}, partial=partial)
 
 
 def top_vaults_sql(spark: SparkSession, df: DataFrame, k: int = 10) -> DataFrame:
-    return spark.sql(TOP_VAULTS_SQL, args={"k": k}, partial=partial_sql(spark, df))
+    return top_vaults_sql_from(spark, partial_sql(spark, df), k)
+
+
+def top_vaults_sql_from(spark: SparkSession, partial: DataFrame, k: int = 10) -> DataFrame:
+    return spark.sql(TOP_VAULTS_SQL, args={"k": k}, partial=partial)
 
 
 def hours_stats_sql(spark: SparkSession, df: DataFrame, accuracy: int = ACCURACY) -> DataFrame:

@@ -93,6 +93,7 @@ HOURS_STATS = Report(
     ]),
     sort=("failure",),
 )
+AVERAGES = Report("average_evaluation", TIMING_LOG, sort=("query", "format", "worker_nodes"))
 REPORTS = {r.name: r for r in (VAULT_DAYS, TOP_MODELS, TOP_VAULTS, HOURS_STATS)}
 
 # Percentile column names and their probabilities.

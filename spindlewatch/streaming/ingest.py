@@ -12,8 +12,9 @@ from spindlewatch.schema import TELEMETRY
 from spindlewatch.sinks.tables import write_telemetry
 from spindlewatch.sources.tables import check_format, read_telemetry
 
-# Day first: a batch then looks for earlier copies in its own days only.
-LAYOUT = ("event_date", "failure")
+# Day first: a batch then looks for earlier copies in its own days only. New rows are brought together by day, so that
+# a batch adds few files to each; the rebalance splits a day that holds much of the batch.
+LAYOUT = {"partition_by": ("event_date", "failure"), "cluster_by": ("event_date",)}
 
 
 def raw_stream(spark: SparkSession, directory: str, schema: StructType, fmt: str = "parquet", **options) -> DataFrame:
@@ -31,16 +32,11 @@ def append_new(batch: DataFrame, path: str, fmt: str = "parquet") -> None:
 
     Both sides hold a row once and are hashed on every column, so no key of the join can be hot.
     """
-    spark = batch.sparkSession
-    rows = clean(batch).persist()
-    try:
-        first_day, last_day = rows.agg(F.min("event_date"), F.max("event_date")).first()
-        if first_day is None:
-            return
-        held = read_telemetry(spark, path, fmt).where(F.col("event_date").between(first_day, last_day))
-        write_telemetry(rows.join(held, TELEMETRY.names, "left_anti"), path, fmt, partition_by=LAYOUT, mode="append")
-    finally:
-        rows.unpersist()
+    first_day, last_day = clean(batch, dedup=None).agg(F.min("event_date"), F.max("event_date")).first()
+    if first_day is None:
+        return
+    held = read_telemetry(batch.sparkSession, path, fmt).where(F.col("event_date").between(first_day, last_day))
+    write_telemetry(clean(batch).join(held, TELEMETRY.names, "left_anti"), path, fmt, **LAYOUT, mode="append")
 
 
 def ingest(
@@ -54,7 +50,7 @@ def ingest(
     Run it again when more has arrived; ``checkpoint`` remembers which files are done.
     """
     spark = raw.sparkSession
-    write_telemetry(spark.createDataFrame([], TELEMETRY), path, fmt, partition_by=LAYOUT, mode="append")
+    write_telemetry(spark.createDataFrame([], TELEMETRY), path, fmt, **LAYOUT, mode="append")
     return (
         raw.writeStream
         .foreachBatch(lambda batch, _: append_new(batch, path, fmt))

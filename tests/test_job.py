@@ -66,10 +66,11 @@ def test_unknown_selections(spark, tmp_path):
         job.process(spark, str(tmp_path), str(tmp_path), "1", "rdd")
 
 
-def test_nothing_stays_cached(spark, raw_path, tmp_path):
-    job.run(spark, raw_path, str(tmp_path), "2")
-    table = job.read_telemetry(spark, f"{tmp_path}/preprocessed.parquet")
-    assert "InMemoryTableScan" not in reports.top_models(table)._jdf.queryExecution().executedPlan().toString()
+def test_failure_reports_share_one_scan(spark, raw_path, tmp_path):
+    job.run(spark, raw_path, str(tmp_path), "all")
+    partial = spark.read.parquet(f"{tmp_path}/results/failure_counts.parquet")
+    assert partial.columns == ["event_date", "vault_id", "model", "failures_count"]
+    assert "preprocessed" not in reports.top_models_from(partial)._jdf.queryExecution().executedPlan().toString()
 
 
 @pytest.mark.parametrize("core, sql", [
@@ -84,3 +85,14 @@ def test_surfaces_agree(spark, cleaned, core, sql):
     assert a.collect() == b.collect()
     name = {"vault_days": "query1", "top_models": "query2-1", "top_vaults": "query2-2"}.get(core.__name__, "query3")
     assert [(f.name, f.dataType) for f in a.schema] == [(f.name, f.dataType) for f in REPORTS[name].schema]
+
+
+def test_evaluation(spark, raw_path, tmp_path):
+    means = job.evaluate(spark, {"parquet": raw_path}, str(tmp_path), runs=2, worker_nodes=4).collect()
+    assert [r.query for r in means] == [f"{p}query{i}" for p in ("", "sql-") for i in (1, 2, 3)]
+    log = read_timing_log(spark, f"{tmp_path}/evaluation.csv").collect()
+    assert len(log) == 12
+    for row in means:
+        assert (row.format, row.worker_nodes) == ("parquet", 4)
+        runs = [r.execution_time for r in log if r.query == row.query]
+        assert row.execution_time == pytest.approx(sum(runs) / 2)

@@ -8,7 +8,7 @@ import pytest
 
 import __spark_entry__ as contract
 
-SCALES = os.environ.get("ORACLE_SCALES", "sf0.001,sf0.01").split(",")
+SCALES = os.environ.get("ORACLE_SCALES", "sf0.01").split(",")
 ORACLES = contract.oracle_sql()
 
 

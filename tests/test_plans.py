@@ -97,10 +97,7 @@ def test_cleaning_shuffles_once_and_combines_copies_first(spark):
     assert "RLIKE" in before
 
 
-WRITES_FILES = {"bench_measured"}
-
-
-@pytest.mark.parametrize("name", sorted(set(contract.queries()) - WRITES_FILES))
+@pytest.mark.parametrize("name", sorted(contract.queries()))
 def test_no_python_and_no_cross_join(spark, name):
     df = contract.queries()[name](spark, "/root/testdata/sf0.001")
     plan = df._jdf.queryExecution().executedPlan().toString()
