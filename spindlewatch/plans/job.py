@@ -130,11 +130,12 @@ def run(
     query: str = "all",
     surface: str = "core",
     fmt: str = "parquet",
+    cluster_by: Sequence[str] = (),
     **options,
 ) -> dict[str, DataFrame]:
     """Clean, then report: :func:`prepare` into ``work_dir/preprocessed.<fmt>``, :func:`process` into its results."""
     clean_path = f"{work_dir}/preprocessed.{fmt}"
-    prepare(spark, raw_path, clean_path, fmt)
+    prepare(spark, raw_path, clean_path, fmt, cluster_by=cluster_by)
     return process(spark, clean_path, f"{work_dir}/results", query, surface, fmt, **options)
 
 
