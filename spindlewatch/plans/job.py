@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Mapping
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +13,7 @@ from spindlewatch.plans import reports, sql_reports
 from spindlewatch.plans.timing import mean_times, timed
 from spindlewatch.schema import AVERAGES, HOURS_STATS, REPORTS, TOP_MODELS, TOP_VAULTS, VAULT_DAYS, Report
 from spindlewatch.sinks.key_value import to_key_value
-from spindlewatch.sinks.tables import write_result, write_telemetry
+from spindlewatch.sinks.tables import BY_DISK, write_result, write_telemetry
 from spindlewatch.sinks.timing_log import append_timings, timing_frame
 from spindlewatch.sources.tables import read_raw, read_result, read_telemetry, read_timing_log
 
@@ -46,9 +46,12 @@ def prepare(
     clean_path: str,
     fmt: str = "parquet",
     dedup: str | None = "projected",
-    cluster_by: Sequence[str] = (),
+    cluster_by: str | None = BY_DISK,
 ) -> DataFrame:
-    """Clean the raw table into ``clean_path`` and return what was written there."""
+    """Clean the raw table into ``clean_path`` and return what was written there.
+
+    The table is written for repeated reporting, hence by disk; ``cluster_by=None`` saves that shuffle.
+    """
     write_telemetry(clean(read_raw(spark, raw_path, fmt), dedup), clean_path, fmt, cluster_by=cluster_by)
     return read_telemetry(spark, clean_path, fmt)
 
@@ -130,7 +133,7 @@ def run(
     query: str = "all",
     surface: str = "core",
     fmt: str = "parquet",
-    cluster_by: Sequence[str] = (),
+    cluster_by: str | None = BY_DISK,
     **options,
 ) -> dict[str, DataFrame]:
     """Clean, then report: :func:`prepare` into ``work_dir/preprocessed.<fmt>``, :func:`process` into its results."""

@@ -5,17 +5,21 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from spindlewatch.schema import Report
 from spindlewatch.sources.tables import check_format
 
+# Rows of healthy days by disk. Failed rows, few and read apart from the others, share the null key.
+BY_DISK = "CASE WHEN NOT failure THEN xxhash64(serial_number) END"
+
 
 def write_telemetry(
     df: DataFrame,
     path: str,
     fmt: str = "parquet",
     partition_by: Sequence[str] = ("failure",),
-    cluster_by: Sequence[str] = (),
+    cluster_by: str | None = None,
     mode: str = "overwrite",
 ) -> None:
     """Write cleaned telemetry, split by ``partition_by``.
@@ -23,12 +27,13 @@ def write_telemetry(
     Failures are rare and two of the three reports read nothing else, so the default layout lets those scan the
     ``failure=true`` files alone. Every task writes its own files; ``()`` gives an unpartitioned table.
 
-    ``cluster_by=("serial_number",)`` brings the rows of a disk together, at the price of one more shuffle here.
-    Every later collapse to disks then combines nearly all rows before its own shuffle: worth it for a table that
-    is reported on more than once. The rebalance splits the files of a hot disk and merges small ones.
+    ``cluster_by``, a SQL expression, brings rows with equal keys together, at the price of one more shuffle here.
+    With ``BY_DISK`` every later collapse to disks combines nearly all rows before its own shuffle, and the failed
+    rows fill a few files of their own instead of a small one per task: worth it for a table that is reported on more
+    than once. It is a rebalance, so a key with very many rows is split over several tasks, and small ones are merged.
     """
     if cluster_by:
-        df = df.hint("rebalance", *cluster_by)
+        df = df.withColumn("__key", F.expr(cluster_by)).hint("rebalance", "__key").drop("__key")
     writer = df.write.format(check_format(fmt)).mode(mode)
     if partition_by:
         writer = writer.partitionBy(*partition_by)

@@ -14,7 +14,7 @@ from spindlewatch.sources.tables import check_format, read_telemetry
 
 # Day first: a batch then looks for earlier copies in its own days only. New rows are brought together by day, so that
 # a batch adds few files to each; the rebalance splits a day that holds much of the batch.
-LAYOUT = {"partition_by": ("event_date", "failure"), "cluster_by": ("event_date",)}
+LAYOUT = {"partition_by": ("event_date", "failure"), "cluster_by": "event_date"}
 
 
 def raw_stream(spark: SparkSession, directory: str, schema: StructType, fmt: str = "parquet", **options) -> DataFrame:
@@ -22,8 +22,8 @@ def raw_stream(spark: SparkSession, directory: str, schema: StructType, fmt: str
     return spark.readStream.format(check_format(fmt)).schema(schema).options(**options).load(directory)
 
 
-def append_new(batch: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Append the cleaned rows of ``batch`` that the table at ``path`` does not hold yet.
+def new_rows(batch: DataFrame, path: str, fmt: str = "parquet") -> DataFrame:
+    """The cleaned rows of ``batch`` that the table at ``path`` does not hold yet.
 
     Copies can arrive in any file, on any day. Stateful de-duplication would either keep every row ever seen as
     state, or drop late rows at a watermark. The table itself is the memory instead: an anti join on all columns
@@ -33,10 +33,14 @@ def append_new(batch: DataFrame, path: str, fmt: str = "parquet") -> None:
     Both sides hold a row once and are hashed on every column, so no key of the join can be hot.
     """
     first_day, last_day = clean(batch, dedup=None).agg(F.min("event_date"), F.max("event_date")).first()
-    if first_day is None:
-        return
-    held = read_telemetry(batch.sparkSession, path, fmt).where(F.col("event_date").between(first_day, last_day))
-    write_telemetry(clean(batch).join(held, TELEMETRY.names, "left_anti"), path, fmt, **LAYOUT, mode="append")
+    held = read_telemetry(batch.sparkSession, path, fmt).where(
+        F.col("event_date").between(F.lit(first_day), F.lit(last_day))
+    )
+    return clean(batch).join(held, TELEMETRY.names, "left_anti")
+
+
+def append_new(batch: DataFrame, path: str, fmt: str = "parquet") -> None:
+    write_telemetry(new_rows(batch, path, fmt), path, fmt, **LAYOUT, mode="append")
 
 
 def ingest(

@@ -51,7 +51,7 @@ def test_all_reports_on_both_surfaces(spark, raw_path, cleaned, tmp_path):
 
 @pytest.mark.parametrize("query, names", [("1", {"query1"}), ("2", {"query2-1", "query2-2"}), ("3", {"query3"})])
 def test_one_query(spark, raw_path, tmp_path, query, names):
-    job.prepare(spark, raw_path, f"{tmp_path}/clean", cluster_by=("serial_number",))
+    job.prepare(spark, raw_path, f"{tmp_path}/clean", cluster_by=None)
     results = job.process(spark, f"{tmp_path}/clean", f"{tmp_path}/out", query)
     assert set(results) == names
     for name, df in results.items():

@@ -6,7 +6,7 @@ from spindlewatch.plans import reports
 from spindlewatch.plans.timing import mean_times, measure, total_times
 from spindlewatch.schema import HOURS_STATS, TELEMETRY, TOP_MODELS, TOP_VAULTS, VAULT_DAYS
 from spindlewatch.sinks.key_value import export, to_key_value
-from spindlewatch.sinks.tables import write_result, write_telemetry
+from spindlewatch.sinks.tables import BY_DISK, write_result, write_telemetry
 from spindlewatch.sinks.timing_log import append_timings, timing_frame
 from spindlewatch.sources.tables import read_raw, read_result, read_telemetry, read_timing_log
 from tests.helpers import day, failures, telemetry
@@ -15,7 +15,8 @@ ROWS = [(1, "SN-1", "A", True, 1, 1.5), (2, "SN-2", "B 2", False, 2, 2.0), (2, "
 
 
 @pytest.mark.parametrize("layout", [
-    {}, {"partition_by": ()}, {"partition_by": ("event_date",)}, {"cluster_by": ("serial_number",)},
+    {}, {"partition_by": ()}, {"partition_by": ("event_date",)}, {"cluster_by": BY_DISK},
+    {"partition_by": ("event_date", "failure"), "cluster_by": "event_date"},
 ])
 def test_telemetry_round_trip(spark, tmp_path, layout):
     df = telemetry(spark, ROWS)

@@ -1,9 +1,10 @@
 import os
+import re
 
 from spindlewatch.operators.cleaning import clean
 from spindlewatch.schema import RAW_COLUMNS
 from spindlewatch.sources.tables import read_telemetry
-from spindlewatch.streaming.ingest import append_new, ingest, raw_stream
+from spindlewatch.streaming.ingest import append_new, ingest, new_rows, raw_stream
 
 SCHEMA = ", ".join(f"{c} string" for c in RAW_COLUMNS)
 
@@ -67,3 +68,14 @@ def test_a_batch_without_a_valid_row(spark, tmp_path):
     os.mkdir(f"{tmp_path}/in")
     put(spark, tmp_path, 0, rows(1, ["bad"]))
     assert arrive(spark, tmp_path) == []
+
+
+def test_a_batch_reads_its_own_days_of_the_table_only(spark, tmp_path):
+    os.mkdir(f"{tmp_path}/in")
+    put(spark, tmp_path, 0, FILES[0])
+    arrive(spark, tmp_path)
+    batch = spark.createDataFrame(rows(2, ["SN-3", "SN-5"]), SCHEMA)
+    new = new_rows(batch, f"{tmp_path}/table")
+    plan = new._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*event_date[^\]]* >= 2024-01-02", plan)
+    assert [r.serial_number for r in new.collect()] == ["SN-5"]
