@@ -27,20 +27,23 @@ def _disk(prefix: Column | str) -> Column:
     return F.concat(prefix, F.col("user_id").cast("string"), F.lit("_"), (F.col("event_id") % 7).cast("string"))
 
 
+def _every(n: int) -> Column:
+    return F.col("event_id") % n == 0
+
+
 def raw_telemetry(events: DataFrame) -> DataFrame:
     """Dirty daily telemetry, all strings: nulls, bad identifiers, unparsable hours and exact duplicates."""
-    every = lambda n: F.col("event_id") % n == 0
-    copies = F.when(every(10), 2).otherwise(1)
+    copies = F.when(_every(10), 2).otherwise(1)
     return events.select(
         F.col("ts").cast("date").cast("string").alias("date"),
-        _disk(F.when(every(83), "sn#").otherwise("SN-")).alias("serial_number"),
-        F.when(every(97), F.lit(None).cast("string"))
-        .when(every(89), F.concat(F.lit("mdl "), (F.col("user_id") % 25).cast("string")))
+        _disk(F.when(_every(83), "sn#").otherwise("SN-")).alias("serial_number"),
+        F.when(_every(97), F.lit(None).cast("string"))
+        .when(_every(89), F.concat(F.lit("mdl "), (F.col("user_id") % 25).cast("string")))
         .otherwise(F.concat(F.lit("MDL "), (F.col("user_id") % 25).cast("string")))
         .alias("model"),
         F.when(_failed(), "1").otherwise("0").alias("failure"),
-        F.when(~every(73), (1000 + F.col("user_id") % 40).cast("string")).alias("vault_id"),
-        F.when(every(79), "n/a").otherwise(_hours().cast("string")).alias("s9_power_on_hours"),
+        F.when(~_every(73), (1000 + F.col("user_id") % 40).cast("string")).alias("vault_id"),
+        F.when(_every(79), "n/a").otherwise(_hours().cast("string")).alias("s9_power_on_hours"),
         copies.alias("copies"),
     ).select(
         "date", "serial_number", "model", "failure", "vault_id", "s9_power_on_hours",
