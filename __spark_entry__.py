@@ -22,6 +22,13 @@ from spindlewatch.sources.events_view import raw_telemetry, read_events, reset_t
 from spindlewatch.sources.tables import read_raw, read_result, read_telemetry, read_timing_log
 from spindlewatch.streaming.ingest import ingest
 
+try:
+    from spindlewatch.llm import queries as corpus
+except ModuleNotFoundError as absent:
+    if absent.name not in ("spindlewatch.llm", "corpus_pipeline"):
+        raise
+    corpus = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 # Fine enough for the approximate quartiles to be the exact discrete ones, which the oracle computes.
@@ -131,6 +138,10 @@ def _own_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    return _telemetry_queries() | (corpus.QUERIES if corpus else {})
+
+
+def _telemetry_queries() -> dict[str, Query]:
     return {
         # Sources and sinks
         "scan_parquet": _raw_roundtrip,
@@ -364,4 +375,4 @@ def oracle_sql() -> dict[str, str]:
         ),
         "bench_totals": "SELECT query, sum(execution_time) AS execution_time FROM log GROUP BY ALL",
     }
-    return {name: _VIEWS + body for name, body in bodies.items()}
+    return {name: _VIEWS + body for name, body in bodies.items()} | (corpus.ORACLES if corpus else {})

@@ -2,25 +2,34 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``.
+    """The folder the cluster names in ``spark.checkpoint.dir``, or the warehouse of a session that names none.
 
-    Only a local session, whose tasks share one machine, may do without the setting; it gets a new temporary folder.
+    A warehouse on a plain local path serves only a session whose tasks share one machine.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.conf.get("spark.master", "local").startswith("local"):
+    warehouse = spark.conf.get("spark.sql.warehouse.dir", None)
+    master = spark.conf.get("spark.master", None) or ""
+    local = master == "local" or master.startswith("local[")
+    if not warehouse or not local and warehouse.startswith(("file:", "/")):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
-    return tempfile.mkdtemp(prefix="spindlewatch-")
+    return warehouse.rstrip("/") + "/_scratch"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other call returns."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder: computed once, and still there if an executor is lost."""
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
