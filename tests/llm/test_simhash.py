@@ -1,0 +1,136 @@
+import random
+import re
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+
+from spindlewatch.llm import simhash
+from spindlewatch.llm.components import components
+
+
+def fingerprint(text):
+    lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", lower)
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or [" ".join(words)]
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def reach(values, most=2):
+    """The smallest value each value reaches, by trying all pairs."""
+    parent = {v: v for v in values}
+
+    def root(v):
+        while parent[v] != v:
+            v = parent[v]
+        return v
+
+    for a in values:
+        for b in values:
+            if bin(a ^ b).count("1") <= most:
+                x, y = root(a), root(b)
+                parent[max(x, y)] = min(x, y)
+    return {v: root(v) for v in values}
+
+
+def texts():
+    rng = random.Random(3)
+    vocabulary = ["The", "of", "x", "ação", "Z" * 40, "\n", "\t", "naïve", "a" * 33]
+    made = ["".join(rng.choice(vocabulary) + " " for _ in range(rng.randrange(1, 700))) for _ in range(40)]
+    return [None, "", " \n", "a", "A  b", "one two THREE", "one\ttwo three"] + made
+
+
+def test_fingerprints_are_those_of_the_definition():
+    assert [int(f) for f in simhash.fingerprints(pa.array(texts()))] == [fingerprint(t) for t in texts()]
+    assert len(simhash.fingerprints(pa.array([], pa.string()))) == 0
+
+
+def clusters(n, seed=0):
+    rng = np.random.default_rng(seed)
+    values = [int(v) for v in rng.integers(0, 2**64, n, dtype=np.uint64)]
+    for v in values[: n // 4]:
+        for _ in range(5):
+            v ^= 1 << int(rng.integers(64))
+            values.append(v)
+    return sorted(set(values))
+
+
+def test_the_walk_links_what_all_pairs_link():
+    values = clusters(200)
+    array = np.array(values, np.uint64)
+    u, v = simhash.walk(array, array, 0, 0, 2)
+    parent = {x: x for x in values}
+    for a, b in zip(u.tolist(), v.tolist(), strict=True):
+        assert bin(a ^ b).count("1") <= 64
+        parent[a] = b
+    groups = {}
+    for x, r in reach(values).items():
+        groups.setdefault(r, set()).add(x)
+    ends = {}
+    for x in values:
+        y = x
+        while parent[y] != y:
+            y = parent[y]
+        ends.setdefault(y, set()).add(x)
+    assert sorted(map(sorted, ends.values())) == sorted(map(sorted, groups.values()))
+
+
+def test_splitting_nodes_over_rounds_changes_nothing(spark):
+    values = clusters(60, 5) + list(range(40))
+    values = sorted(set(values))
+    signed = [(int(np.array(v, np.uint64).view(np.int64)),) for v in values]
+    distinct = spark.createDataFrame(signed, "fingerprint long")
+    expected = {}
+    for x, r in reach(values).items():
+        expected.setdefault(r, set()).add(x)
+    root = {r.node: r.root for r in components(spark, simhash.links(spark, distinct, leaf=8)).collect()}
+    got = {}
+    for (s,), v in zip(signed, values, strict=True):
+        got.setdefault(root.get(s, s), set()).add(v)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, expected.values()))
+
+
+def near(spark, documents, rows):
+    out = simhash.near_duplicates(spark, documents(rows)).collect()
+    return sorted((r.doc_id, r.fingerprint & (2**64 - 1), r.component_id) for r in out)
+
+
+def test_documents_get_the_smallest_reachable_id(spark, documents):
+    rows = list(enumerate(texts())) + [(100 + i, t) for i, t in enumerate(texts())]
+    print_of = {t: fingerprint(t) for _, t in rows}
+    group = reach(sorted(set(print_of.values())))
+    least = {}
+    for i, t in rows:
+        r = group[print_of[t]]
+        least[r] = min(least.get(r, i), i)
+    assert near(spark, documents, rows) == sorted((i, print_of[t], least[group[print_of[t]]]) for i, t in rows)
+
+
+def test_repeated_rows_null_ids_and_empty_tables(spark, documents):
+    rows = [(4, "a b c d"), (4, "a b c d"), (None, "a b c d"), (None, "only null ids here and nothing else")]
+    out = simhash.near_duplicates(spark, documents(rows)).collect()
+    assert sorted((str(r.doc_id), str(r.component_id)) for r in out) == [
+        ("4", "4"), ("4", "4"), ("None", "4"), ("None", "None")
+    ]
+    assert simhash.near_duplicates(spark, documents([])).collect() == []
+
+
+def test_one_document_of_each_group_stays(spark, documents):
+    same = "the same text in several documents of the table"
+    rows = [(7, same), (3, same), (3, same), (9, same + " "), (5, "something else entirely, much unlike it"), (None, same)]
+    docs = documents(rows)
+    kept = simhash.keep_one(spark, docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(3, same), (5, rows[4][1])]
+
+
+def test_extra_columns_with_clashing_names_do_not_matter(spark, documents):
+    docs = documents([(1, "a b c"), (2, "a b c")])
+    clash = docs.selectExpr("*", "1 AS fingerprint", "'x' AS text_hash", "5 AS component_id", "0 AS _hash", "0 AS _id")
+    out = simhash.near_duplicates(spark, clash).collect()
+    assert sorted((r.doc_id, r.component_id) for r in out) == [(1, 1), (2, 1)]
+    assert simhash.keep_one(spark, clash).columns == clash.columns
+    assert [r.doc_id for r in simhash.keep_one(spark, clash).collect()] == [1]
