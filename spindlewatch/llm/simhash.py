@@ -291,9 +291,9 @@ class _Forest:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 3, most: int = 2, seed: int = 42) -> DataFrame:
-    """(doc_id, fingerprint as a long, text_hash, component_id) for every row of ``docs``.
+    """(fingerprint as a long, doc_id, text_hash, root, component_id) for every row of ``docs``.
 
-    Documents are linked at ``most`` or fewer differing bits; component_id is the smallest doc_id reachable. Null and
+    root is one fingerprint of the component, the same for all its rows. Documents are linked at ``most`` or fewer differing bits; component_id is the smallest doc_id reachable. Null and
     empty texts have fingerprint zero and are linked like any other. A null doc_id counts for nobody's component_id,
     which is null only where no row of the component has an id. Equal rows are returned as often as they occur, other
     columns are ignored, and an empty table gives an empty result.
@@ -306,17 +306,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 3, most
         "fingerprint", "least", F.coalesce("root", "fingerprint").alias("root")
     )
     lowest = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = member.join(lowest, "root").select("fingerprint", "component_id")
+    found = member.join(lowest, "root").select("fingerprint", "root", "component_id")
     return rows.join(found, "fingerprint")
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, shingle: int = 3, most: int = 2) -> DataFrame:
     """The rows of ``docs`` less all but one of each component: the one with the smallest doc_id, and of rows that
-    share it the one with the smallest hash of its text; of rows that share both, any one. The columns are those of
-    ``docs``; a component without any id goes, as nothing names the document that would stay."""
+    share it the one with the smallest hash of its text; of rows that share both, any one. A row
+    without an id stays only where its component has no ids. The columns are those of ``docs``."""
     rows = near_duplicates(spark, docs, shingle, most)
-    heads = rows.where("doc_id = component_id")
-    first = heads.groupBy("doc_id").agg(F.min("text_hash").alias("text_hash"))
+    one = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("one")
+    first = rows.groupBy("root").agg(one).select("one.doc_id", "one.text_hash")
     own = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
-    kept = own.join(first, (F.col("id") == F.col("doc_id")) & (F.col("hash") == F.col("text_hash")))
+    kept = own.join(first, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash")))
     return kept.groupBy("id", "hash").agg(F.first("row").alias("row")).select("row.*")

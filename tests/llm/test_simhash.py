@@ -127,6 +127,11 @@ def test_one_document_of_each_group_stays(spark, documents):
     assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(3, same), (5, rows[4][1])]
 
 
+def test_a_group_without_ids_keeps_one_row(spark, documents):
+    kept = simhash.keep_one(spark, documents([(None, "no id at all here"), (None, "no id at all here")]))
+    assert [(r.doc_id, r.text) for r in kept.collect()] == [(None, "no id at all here")]
+
+
 def test_extra_columns_with_clashing_names_do_not_matter(spark, documents):
     docs = documents([(1, "a b c"), (2, "a b c")])
     clash = docs.selectExpr("*", "1 AS fingerprint", "'x' AS text_hash", "5 AS component_id", "0 AS _hash", "0 AS _id")
