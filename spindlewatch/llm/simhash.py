@@ -151,54 +151,52 @@ def fingerprinted(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFram
 
 
 def _prefix(depth: int) -> Column:
-    """The trie node of ``depth`` bits above a fingerprint; zero at the root."""
-    return F.shiftrightunsigned("fingerprint", 64 - depth) if depth else F.lit(0).cast("long")
+    """The trie node of ``depth`` bits above a fingerprint."""
+    return F.shiftrightunsigned("fingerprint", 64 - depth)
 
 
 def links(spark: SparkSession, distinct: DataFrame, most: int = 2, leaf: int = LEAF) -> DataFrame:
     """Links (u, v) among distinct ``fingerprint`` values that join the same values into components as all pairs
     at ``most`` or fewer differing bits do."""
-    pairs = spark.range(1).select(
-        F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0).alias("bits")
-    )
+    count = distinct.count()
+    if 2 * count <= leaf:
+        root = distinct.select(*[F.lit(0).cast("long").alias(c) for c in ("a", "b", "node")], F.lit(0).alias("bits"), "fingerprint")
+        return written(spark, _walk(root, 0, most), "links")
+    pairs = written(spark, distinct.limit(1).selectExpr("0L AS a", "0L AS b", "0 AS bits"), "pairs")
     found = []
-    for depth in range(0, 64 + 1, STEP):
-        sizes = distinct.groupBy(_prefix(depth).alias("node")).agg(F.count("*").alias("size"))
-        pairs = (
-            pairs.join(sizes.select(F.col("node").alias("a"), F.col("size").alias("size_a")), "a")
-            .join(sizes.select(F.col("node").alias("b"), F.col("size").alias("size_b")), "b")
-        )
-        pairs = written(spark, pairs.select("a", "b", "bits", (F.col("size_a") + F.col("size_b")).alias("size")), "pairs")
-        small = pairs.where(F.col("size") <= leaf) if depth < 64 else pairs
-        found.append(_walk(distinct, small, depth, most))
-        pairs = pairs.where(F.col("size") > leaf)
-        if depth == 64 or pairs.isEmpty():
-            break
-        children = distinct.select(_prefix(depth + STEP).alias("child")).distinct()
-        children = children.select(F.shiftrightunsigned("child", STEP).alias("node"), "child")
+    for depth in range(STEP, 64 + 1, STEP):
+        children = distinct.select(_prefix(depth).alias("child")).groupBy("child").agg(F.count("*").alias("size"))
+        children = children.select(F.shiftrightunsigned("child", STEP).alias("node"), "child", "size")
         below = (
-            pairs.join(children.select(F.col("node").alias("a"), F.col("child").alias("x")), "a")
-            .join(children.select(F.col("node").alias("b"), F.col("child").alias("y")), "b")
+            pairs.join(children.selectExpr("node AS a", "child AS x", "size AS size_x"), "a")
+            .join(children.selectExpr("node AS b", "child AS y", "size AS size_y"), "b")
             .where("a < b OR x <= y")
         )
-        pairs = below.select(
-            F.col("x").alias("a"),
-            F.col("y").alias("b"),
-            (F.col("bits") + F.bit_count(F.col("x").bitwiseXOR(F.col("y")).bitwiseAND(F.lit((1 << STEP) - 1)))).alias("bits"),
-        ).where(F.col("bits") <= most)
+        differ = F.bit_count(F.col("x").bitwiseXOR(F.col("y")).bitwiseAND(F.lit((1 << STEP) - 1)))
+        below = below.select(
+            F.col("x").alias("a"), F.col("y").alias("b"), (F.col("bits") + differ).alias("bits"), F.expr("size_x + size_y AS size")
+        )
+        below = written(spark, below.where(F.col("bits") <= most), "pairs")
+        small = below.where(F.col("size") <= leaf) if depth < 64 else below
+        found.append(_walk(_members(distinct, small, depth), depth, most))
+        pairs = below.where(F.col("size") > leaf).select("a", "b", "bits")
+        if depth == 64 or pairs.isEmpty():
+            break
     out = found[0]
     for more in found[1:]:
         out = out.unionAll(more)
     return written(spark, out, "links")
 
 
-def _walk(distinct: DataFrame, pairs: DataFrame, depth: int, most: int) -> DataFrame:
-    """The links below ``pairs`` of nodes of ``depth`` bits, as a forest for each pair."""
+def _members(distinct: DataFrame, pairs: DataFrame, depth: int) -> DataFrame:
+    """The fingerprints below both nodes of each pair of nodes of ``depth`` bits."""
     own = distinct.select(_prefix(depth).alias("node"), "fingerprint")
-    ends = pairs.select(
-        "a", "b", "bits", F.explode(F.when(F.col("a") == F.col("b"), F.array("a")).otherwise(F.array("a", "b"))).alias("node")
-    )
-    members = ends.join(own, "node")
+    both = F.when(F.col("a") == F.col("b"), F.array("a")).otherwise(F.array("a", "b"))
+    return pairs.select("a", "b", "bits", F.explode(both).alias("node")).join(own, "node")
+
+
+def _walk(members: DataFrame, depth: int, most: int) -> DataFrame:
+    """The links below pairs of nodes, as a forest for each pair."""
 
     def run(table: pa.Table) -> pa.Table:
         values = table.column("fingerprint").to_numpy().view(np.uint64)
