@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindlewatch.llm import simhash
+from spindlewatch.llm import sharding, simhash, substrings, token_files, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,35 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer(name: str) -> str:
+    """The place of a public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the 20-word windows that begin earlier."""
+    found = substrings.without_repeats(spark, _table(spark, sf_dir, "documents"), window=20)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards by jump consistent hashing of doc_id."""
+    return sharding.sharded(spark, _table(spark, sf_dir, "documents"), shards=16)
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a WARC record, read back from the archives."""
+    return warc.read_archives(spark, warc.write_archives(spark, _table(spark, sf_dir, "pages")))
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, read back from Simple-8b files."""
+    files = token_files.write_tokens(spark, _table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end=2)
+    return token_files.read_tokens(files).drop("ids")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document: 3-word shingles, links at 2 or fewer bits."""
     found = simhash.near_duplicates(spark, _table(spark, sf_dir, "documents"))
@@ -23,6 +52,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_substring_dedup": op1_substring_dedup,
+    "op5_sharding": op5_sharding,
+    "op6_warc": op6_warc,
+    "op7_token_files": op7_token_files,
     "op10_simhash": op10_simhash,
 }
 
