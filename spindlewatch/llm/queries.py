@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindlewatch.llm import sharding, simhash, substrings, token_files, warc
+from spindlewatch.llm import pii, quality, rules, sentences, sharding, simhash, substrings, token_files, warc
+
+# A caller with real data passes a secret key of its own.
+PSEUDONYM_KEY = b"spindlewatch example key"
+_COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +33,17 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and verdict of the rule cascade for every document."""
+    found = rules.judged(spark, _table(spark, sf_dir, "documents"))
+    return found.select("row.doc_id", *_COUNTS, "base_failed", "kept")
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score for every document, learnt from the labels that are not held out."""
+    return quality.classified(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards by jump consistent hashing of doc_id."""
     return sharding.sharded(spark, _table(spark, sf_dir, "documents"), shards=16)
@@ -45,6 +60,17 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(files).drop("ids")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with pseudonyms for its personal data, and how many values there were."""
+    found = pii.pseudonymised(_table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
+    return found.select("row.doc_id", "row.text", F.size("found").alias("n_values"), F.col("found.kind").alias("kinds"))
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and whether they decode to its text."""
+    return sentences.encoded(_table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document: 3-word shingles, links at 2 or fewer bits."""
     found = simhash.near_duplicates(spark, _table(spark, sf_dir, "documents"))
@@ -53,10 +79,16 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_quality_rules": op2_quality_rules,
+    "op3_quality_classifier": op3_quality_classifier,
     "op5_sharding": op5_sharding,
     "op6_warc": op6_warc,
     "op7_token_files": op7_token_files,
+    "op8_pii": op8_pii,
+    "op9_sentencepiece": op9_sentencepiece,
     "op10_simhash": op10_simhash,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_quality_rules": rules.ORACLE.replace("@columns", f"doc_id, {', '.join(_COUNTS)}, base_failed, {rules.KEPT} AS kept"),
+}

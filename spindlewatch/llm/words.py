@@ -61,9 +61,10 @@ def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]
 
 class Words:
     """Byte ranges of the words of a column: word ``w`` is ``data[start[w]:stop[w]]`` and lies in row ``row[w]``;
-    the words of row ``r`` are ``first[r]`` up to ``first[r + 1]``."""
+    the words of row ``r`` are ``first[r]`` up to ``first[r + 1]``. With ``classes``, a number for each byte and zero for
+    white space, words also end where the class changes."""
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, classes: np.ndarray | None = None):
         texts = pc.fill_null(texts, "").cast(pa.large_string())
         if len(texts):
             offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
@@ -80,6 +81,11 @@ class Words:
         starts = inside[:-1].copy()
         starts[1:] &= gap[:-2]
         stops = inside[:-1] & gap[1:]
+        if classes is not None:
+            kind = classes[self.data]
+            change = kind[1:] != kind[:-1]
+            starts[1:] |= inside[1:-1] & change
+            stops[:-1] |= inside[: len(kind) - 1] & change
         edges = self.offsets[(self.offsets > 0) & (self.offsets < len(self.data))]
         starts[edges] |= inside[edges]
         stops[edges - 1] |= inside[edges - 1]

@@ -1,0 +1,91 @@
+import re
+
+import duckdb
+import pytest
+
+from spindlewatch.llm import queries, rules
+from spindlewatch.llm.rules import Rule
+
+
+def brute(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
+    seen = {}
+    for w in windows:
+        seen[w] = seen.get(w, 0) + 1
+    covered = {j for i, w in enumerate(windows) if seen[w] > 1 for j in range(i, i + 8)}
+    lines = [line for line in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", line)]
+    counts = (
+        len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(covered)
+    )
+    return (*counts, counts[0] < 20 or 100 * counts[4] > 30 * counts[0])
+
+
+CLEAN = "Thor the ening of this and that, as it were with some others in a line.\nAnd the next one is much like it, but not the same at all."
+TEXTS = [
+    None, "", " \n ", "a", CLEAN, CLEAN * 2, "x " * 50, "One two three four five six seven eight nine ten. " * 9, CLEAN.upper(),
+    re.sub(r"(\w+)", r"\1###", CLEAN), re.sub(r" ", " | ", CLEAN), re.sub(r"(\w+)", r"\1!!", CLEAN),
+    "\n".join(["same line here"] * 3 + [f"other line number {i} of the text" for i in range(6)]), "é" * 40 + " ß" * 30,
+    "a b c d e f g h a b c d e f g h " + " ".join(f"w{i}" for i in range(60)), "l1\x0bl2\x0cl3\rl4\tl5 " * 8,
+    " ".join(str(i) for i in range(40)), " ".join("p q r".split() * 5 + [f"z{i}" for i in range(30)]),
+]
+
+
+def test_counts_are_those_of_the_definition(spark, documents):
+    rows = list(enumerate(TEXTS)) + [(3, "a"), (None, CLEAN)]
+    docs = documents(rows).selectExpr("*", "1 AS words", "2 AS row", "3 AS n_words", "4 AS kept")
+    out = rules.judged(spark, docs).collect()
+    got = sorted(((r.row.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in out), key=str)
+    assert got == sorted(((i, *brute(t)) for i, t in rows), key=str)
+    kept = {r.row.doc_id: r.kept for r in out}
+    assert kept[4] and not any(kept[i] for i in (0, 1, 2, 3, 5, 6, 7, 8, 9, 10, 11))
+    assert all((r.failed_rule is None) == (r.kept or r.base_failed) for r in out)
+    assert rules.judged(spark, documents([])).collect() == []
+
+
+def test_a_long_text(spark, documents):
+    text = " ".join(f"w{i % 4999}" for i in range(60_000))
+    r = rules.judged(spark, documents([(1, text)])).first()
+    assert (r.n_words, r.n_repeat_words, r.base_failed) == (60_000, 60_000, True)
+
+
+def test_rules_go_by_rejections_per_second(spark, documents):
+    docs = documents([(i, f"{CLEAN} {i}") for i in range(200)])
+    never, half, always = Rule("never", "true"), Rule("half", "right(text, 1) < '5'"), Rule("always", "n_words < 0")
+    slow = Rule("slow", " AND ".join([f"regexp_count(text, '(a|e|i){i}?[a-z]+') < 0" for i in range(1)] + ["sha2(repeat(text, 3000), 256) = ''"]))
+    order = [r.name for r in rules.ordered_rules(spark, docs, [never, slow, half, always])]
+    assert order[-1] == "never" and order.index("always") < order.index("slow")
+
+
+def test_the_cascade_stops_at_the_first_rejection(spark, documents):
+    """A rule that cannot be evaluated fails only where it is reached."""
+    docs = documents([(i, f"{CLEAN} {i}") for i in range(20)])
+    first, trap = Rule("first", "n_words < 0"), Rule("trap", "assert_true(false) IS NULL")
+    import spindlewatch.llm.rules as module
+
+    keep = module.ordered_rules
+    module.ordered_rules = lambda *a: [first, trap]
+    try:
+        assert {r.failed_rule for r in rules.judged(spark, docs).collect()} == {"first"}
+    finally:
+        module.ordered_rules = keep
+
+
+def test_no_python_runs(spark, documents):
+    plan = rules.judged(spark, documents([(1, CLEAN)]))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+@pytest.mark.parametrize("sf", ["sf0.001"])
+def test_oracle_and_labels(spark, sf):
+    sf_dir = f"/root/testdata/{sf}"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    expected = con.execute(queries.ORACLES["op2_quality_rules"]).fetchall()
+    got = queries.QUERIES["op2_quality_rules"](spark, sf_dir)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(expected)
+    bad = {r[0] for r in con.execute(f"SELECT doc_id FROM '{sf_dir}/labels.parquet' WHERE quality = 0").fetchall()}
+    good = {r[0] for r in con.execute(f"SELECT doc_id FROM '{sf_dir}/labels.parquet' WHERE quality = 1").fetchall()}
+    kept = {r[0] for r in expected if r[-1]}
+    short = {r[0] for r in expected if r[1] < 20}
+    assert not kept & bad and good - short <= kept
