@@ -54,7 +54,7 @@ def base_counts(docs: DataFrame) -> DataFrame:
     )
     hashed = split.select(
         "row", "text", "lines", F.size("words").cast("long").alias("n_words"),
-        F.transform("words", F.xxhash64).alias("hashes"),
+        F.transform("words", lambda word: F.xxhash64(word)).alias("hashes"),
     )
     windows = hashed.select(
         "row", "text", "lines", "n_words", "hashes",
