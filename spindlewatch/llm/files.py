@@ -30,7 +30,7 @@ def new_file(folder: str, suffix: str) -> Iterator[tuple[str, object]]:
     name = f"{uuid.uuid4().hex}{suffix}"
     system, path = locate(folder)
     path = f"{path.rstrip('/')}/{name}"
-    stream = system.open_output_stream(path)
+    stream = system.open_output_stream(path, compression=None)
     try:
         yield f"{folder.rstrip('/')}/{name}", stream
     except BaseException:
