@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindlewatch.llm import pii, quality, rules, sentences, sharding, simhash, substrings, token_files, warc
+from spindlewatch.llm import decontamination, pii, quality, rules, sentences, sharding, simhash, substrings, token_files, warc
 
 # A caller with real data passes a secret key of its own.
 PSEUDONYM_KEY = b"spindlewatch example key"
@@ -44,6 +44,11 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classified(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the benchmark items that are in it."""
+    return decontamination.judged(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards by jump consistent hashing of doc_id."""
     return sharding.sharded(spark, _table(spark, sf_dir, "documents"), shards=16)
@@ -81,6 +86,7 @@ QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_quality_rules": op2_quality_rules,
     "op3_quality_classifier": op3_quality_classifier,
+    "op4_decontamination": op4_decontamination,
     "op5_sharding": op5_sharding,
     "op6_warc": op6_warc,
     "op7_token_files": op7_token_files,
