@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from spindlewatch.llm import decontamination, pii, quality, rules, sentences, sharding, simhash, substrings, token_files, warc
+from spindlewatch.llm.parameters import PSEUDONYM_KEY, tokenizer
 
-# A caller with real data passes a secret key of its own.
-PSEUDONYM_KEY = b"spindlewatch example key"
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,13 +20,6 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer(name: str) -> str:
-    """The place of a public vocabulary file."""
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the 20-word windows that begin earlier."""
     found = substrings.without_repeats(spark, _table(spark, sf_dir, "documents"), window=20)
@@ -93,6 +86,7 @@ QUERIES: dict[str, Query] = {
     "op8_pii": op8_pii,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_simhash": op10_simhash,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {

@@ -1,0 +1,104 @@
+"""The pipeline against the definitions of its stages, written plainly over whole texts."""
+
+import re
+
+import pandas as pd
+import pytest
+from sentencepiece import SentencePieceProcessor
+
+import corpus_pipeline
+from spindlewatch.llm import decontamination, pii
+from spindlewatch.llm.parameters import PSEUDONYM_KEY, tokenizer
+from tests.llm.test_decontamination import brute as leaks
+from tests.llm.test_rules import brute as counts
+from tests.llm.test_simhash import fingerprint, reach
+
+SF = "/root/testdata/sf0.001"
+
+
+def kept_by_rules(text):
+    n_words, word_chars, symbols, dup_lines, _, failed = counts(text)
+    lines = [line for line in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", line)]
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    letters, upper = sum(c.isalpha() for c in text), sum(c.isupper() for c in text)
+    stutters = sum(a == b for a, b in zip(words, words[1:], strict=False))
+    return not failed and 10 * symbols <= n_words and 2 * n_words <= word_chars <= 15 * n_words and 2 * dup_lines <= len(lines) and (
+        10 * stutters <= 3 * n_words and 10 * text.count("!") <= n_words and 10 * upper <= 4 * letters and 2 * letters >= word_chars
+    )
+
+
+@pytest.fixture(scope="module")
+def stages(spark):
+    """What each stage was given and what it returned."""
+    docs, out = spark.read.parquet(f"{SF}/documents.parquet"), []
+    for name, stage in corpus_pipeline.STAGES:
+        made = stage(spark, docs, SF)
+        rows = [r.asDict() for r in made.collect()]
+        out.append((name, docs.columns, [r.asDict() for r in docs.collect()], made.columns, rows))
+        docs = spark.createDataFrame(made.collect(), made.schema) if rows else made
+    return out
+
+
+def ids(rows):
+    return sorted(r["doc_id"] for r in rows)
+
+
+def test_rules(stages):
+    _, before, given, after, rows = stages[0]
+    assert before == after
+    assert ids(rows) == sorted(r["doc_id"] for r in given if kept_by_rules(r["text"])) and 0 < len(rows) < len(given)
+
+
+def test_near_duplicates(stages):
+    _, before, given, after, rows = stages[1]
+    assert before == after
+    prints = {r["doc_id"]: fingerprint(r["text"]) for r in given}
+    group = reach(sorted(set(prints.values())))
+    least = {}
+    for i, f in prints.items():
+        least[group[f]] = min(least.get(group[f], i), i)
+    assert ids(rows) == sorted(least.values()) and len(rows) < len(given)
+    texts = {r["doc_id"]: r for r in given}
+    assert all(r == texts[r["doc_id"]] for r in rows)
+
+
+def test_decontamination(stages):
+    _, before, given, after, rows = stages[2]
+    assert before == after
+    benchmark = list(pd.read_parquet(f"{SF}/benchmark.parquet")[["item_id", "text"]].itertuples(index=False, name=None))
+    expected = {i for i, items in leaks([(r["doc_id"], r["text"]) for r in given], benchmark) if not items}
+    assert ids(rows) == sorted(expected)
+
+
+def test_pseudonyms(stages):
+    _, before, given, after, rows = stages[3]
+    assert before == after
+    names = pii.Pseudonyms(PSEUDONYM_KEY)
+    assert {r["doc_id"]: r["text"] for r in rows} == {r["doc_id"]: pii.replaced(r["text"], names)[0] for r in given}
+    assert all(r["n_chars"] == len(r["text"]) for r in rows)
+
+
+def test_tokens(stages):
+    given, rows = stages[4][2], stages[4][4]
+    library = SentencePieceProcessor(model_file=tokenizer("piece_bpe_32k.model"))
+    assert {r["doc_id"]: r["ids"] for r in rows} == {r["doc_id"]: library.encode(r["text"]) for r in given}
+    assert all(r["round_trip"] and r["n_tokens"] == len(r["ids"]) for r in rows)
+
+
+def test_run(spark, stages):
+    rows = corpus_pipeline.run(spark, SF).collect()
+    assert sorted((r.doc_id, r.ids_crc32) for r in rows) == sorted((r["doc_id"], r["ids_crc32"]) for r in stages[4][4])
+
+
+def test_stages_keep_nulls_and_clashing_columns(spark, documents, tmp_path):
+    text = "Thor the ening of this and that, as it were with some others in a line, and then a few more of them to be sure."
+    docs = documents([(None, text), (1, None), (2, ""), (3, text + " extra words here")]).selectExpr(
+        "*", "'r' AS row", "1 AS n_words", "2 AS hash", "3 AS found", "4 AS item", "5 AS id"
+    )
+    for name, stage in corpus_pipeline.STAGES:
+        made = stage(spark, docs, SF)
+        empty = stage(spark, docs.limit(0), SF)
+        assert empty.columns == made.columns and empty.count() == 0
+        if name != "sentencepiece":
+            assert made.columns == docs.columns
+    assert decontamination.clean(spark, docs, spark.read.parquet(f"{SF}/benchmark.parquet")).count() == 4
