@@ -68,26 +68,31 @@ def tokens(text):
 
 
 def brute(rows, items):
+    def windows(ts):
+        shape = [k or w for k, w in ts]
+        return [tuple(shape[a : a + 8]) for a in range(len(ts) - 7)]
+
+    slots_of = lambda ts, a: sum(k is not None for k, _ in ts[a : a + 8])
+    known, templates = {}, {}
+    for n, text in items:
+        templates[n] = item = tokens(text)
+        for a, w in enumerate(windows(item)):
+            if slots_of(item, a) <= 3:
+                known.setdefault(w, []).append((n, a))
+    sizes = {n: sum(slots_of(item, a) <= 3 for a in range(len(item) - 7)) for n, item in templates.items()}
     out = []
     for i, text in rows:
-        doc, hits = tokens(text), []
-        for n, item_text in items:
-            item = tokens(item_text)
-            shape = lambda ts: [k or w for k, w in ts]
-            good = [a for a in range(len(item) - 7) if sum(k is not None for k, _ in item[a : a + 8]) <= 3]
-            diagonals = {}
-            for a in good:
-                for b in range(len(doc) - 7):
-                    if shape(item[a : a + 8]) == shape(doc[b : b + 8]):
-                        diagonals.setdefault(b - a, set()).add(a)
-            for shift, places in diagonals.items():
-                if len(places) < min(6, len(good)):
-                    continue
-                pairs = {(item[a], doc[a + shift]) for a in range(len(item)) if 0 <= a + shift < len(doc) and item[a][0] and item[a][0] == doc[a + shift][0]}
-                slots = max(sum(k is not None for k, _ in item[a : a + 8]) for a in places)
-                if not slots or len(pairs) == len({x for x, _ in pairs}) == len({y for _, y in pairs}):
-                    hits.append(n)
-        out.append((i, sorted(set(hits))))
+        doc, diagonals, hits = tokens(text), {}, set()
+        for b, w in enumerate(windows(doc)):
+            for n, a in known.get(w, ()):
+                diagonals.setdefault((n, b - a), set()).add(a)
+        for (n, shift), places in diagonals.items():
+            item = templates[n]
+            pairs = {(item[a], doc[a + shift]) for a in range(len(item)) if 0 <= a + shift < len(doc) and item[a][0] and item[a][0] == doc[a + shift][0]}
+            alike = len(pairs) == len({x for x, _ in pairs}) == len({y for _, y in pairs})
+            if len(places) >= min(6, sizes[n]) and (alike or not any(slots_of(item, a) for a in places)):
+                hits.add(n)
+        out.append((i, sorted(hits)))
     return sorted(out, key=str)
 
 
