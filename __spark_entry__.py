@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from spindlewatch.functions import percentiles
 from spindlewatch.operators import cleaning, disks, failures
@@ -33,6 +34,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 # Fine enough for the approximate quartiles to be the exact discrete ones, which the oracle computes.
 FINE_ACCURACY = 1_000_000
+# Probabilities whose products with a count are not exact in binary.
+OTHER_PERCENTILES = {"p07": 0.07, "p29": 0.29, "p55": 0.55}
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -124,9 +127,30 @@ def _job(name: str, surface: str) -> Query:
 
 
 def _evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw_path = scratch_path(spark, "raw")
+    """The runs that an evaluation logs, less the times themselves: their number, and whether all took time."""
+    raw_path, work_dir = scratch_path(spark, "raw"), scratch_path(spark, "evaluation")
     _raw(spark, sf_dir).write.parquet(raw_path)
-    return job.evaluate(spark, {"parquet": raw_path}, scratch_path(spark, "evaluation"), runs=1)
+    means = job.evaluate(spark, {"parquet": raw_path}, work_dir, runs=2, worker_nodes=1)
+    log = read_timing_log(spark, job.log_path(work_dir))
+    runs = log.groupBy("query", "format", "worker_nodes").agg(F.count("*").alias("runs"))
+    return means.join(runs, ["query", "format", "worker_nodes"]).select(
+        "query", "format", "worker_nodes", "runs", (F.col("execution_time") > 0).alias("took_time")
+    )
+
+
+def _within_rank_error(df: DataFrame) -> DataFrame:
+    """Whether the ranks of the approximate quartiles, at the shipped accuracy, lie within the promised error."""
+    collapsed = disks.disk_collapse(df)
+    names = ", ".join(f"'{name}', `{name}`, {p}D" for name, p in QUARTILES.items())
+    marks = percentiles.stats_approx(collapsed).selectExpr("failure", f"stack(3, {names}) AS (percentile, mark, p)")
+    ranks = collapsed.join(F.broadcast(marks), "failure").groupBy("failure", "percentile", "p").agg(
+        F.count("*").alias("n"),
+        F.count_if(F.col("s9_power_on_hours") < F.col("mark")).alias("below"),
+        F.count_if(F.col("s9_power_on_hours") <= F.col("mark")).alias("up_to"),
+    )
+    error = 1.0 + F.col("n") / percentiles.ACCURACY
+    near = (F.col("below") <= F.col("n") * F.col("p") + error) & (F.col("up_to") >= F.col("n") * F.col("p") - error)
+    return ranks.select("failure", "percentile", near.alias("within"))
 
 
 def _own_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,7 +174,7 @@ def _telemetry_queries() -> dict[str, Query]:
         "stream_ingest": _stream_ingest,
         "result_json": _on_cleaned(lambda df: to_key_value(reports.top_models(df), TOP_MODELS)),
         "result_json_by_day": _on_cleaned(
-            lambda df: to_key_value(reports.vault_days(df), VAULT_DAYS, ("event_date",))
+            lambda df: to_key_value(reports.vault_days(df), VAULT_DAYS)
         ),
         "timing_log_append": _timing_log_append,
         "shared_partial": _shared_partial,
@@ -193,9 +217,13 @@ def _telemetry_queries() -> dict[str, Query]:
         "hours_percentiles_exact": _on_cleaned(
             lambda df: percentiles.percentiles_exact(disks.disk_collapse(df))
         ),
+        "hours_percentiles_other": _on_cleaned(
+            lambda df: percentiles.percentiles_exact(disks.disk_collapse(df), probs=OTHER_PERCENTILES)
+        ),
         "hours_stats": _on_cleaned(reports.hours_stats),
         "hours_stats_latest": _on_reset(lambda df: reports.hours_stats(df, "latest")),
         "hours_stats_approx": _on_cleaned(lambda df: reports.hours_stats_approx(df, accuracy=FINE_ACCURACY)),
+        "hours_stats_approx_error": _on_cleaned(_within_rank_error),
         # SQL text
         "sql_views": _own_sql,
         "sql_vault_days": _sql(sql_reports.vault_days_sql),
@@ -219,29 +247,37 @@ def _telemetry_queries() -> dict[str, Query]:
 _VIEWS = """
 WITH base AS (
   SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS date,
-         concat(CASE WHEN event_id % 83 = 0 THEN 'sn#' ELSE 'SN-' END, user_id, '_', event_id % 7) AS serial_number,
+         concat(CASE WHEN event_id % 83 = 0 THEN 'sn#' ELSE 'SN-' END, user_id, '_', event_id % 7,
+                CASE WHEN event_id % 67 = 0 THEN chr(10) ELSE '' END) AS serial_number,
          CASE WHEN event_id % 97 = 0 THEN NULL
               WHEN event_id % 89 = 0 THEN concat('mdl ', user_id % 25)
               ELSE concat('MDL ', user_id % 25) END AS model,
          CASE WHEN event_type = 'error' AND event_id % 3 = 0 THEN '1' ELSE '0' END AS failure,
-         CASE WHEN event_id % 73 = 0 THEN NULL ELSE CAST(1000 + user_id % 40 AS VARCHAR) END AS vault_id,
+         CASE WHEN event_id % 73 = 0 THEN NULL
+              WHEN event_id % 71 = 0 THEN concat(1000 + user_id % 40, '.0')
+              ELSE CAST(1000 + user_id % 40 AS VARCHAR) END AS vault_id,
          CASE WHEN event_id % 79 = 0 THEN 'n/a'
               ELSE CAST((user_id * 7919) % 80000 + (event_id % 7) * 331 + (day(ts) - 1) * 24 + hour(ts) AS VARCHAR)
          END AS s9_power_on_hours,
-         event_id % 10 AS dupk
+         '1' AS capacity, event_id
   FROM events
 ), raw AS (
-  SELECT * EXCLUDE (dupk) FROM base
+  SELECT * EXCLUDE (event_id) FROM base
   UNION ALL
-  SELECT * EXCLUDE (dupk) FROM base WHERE dupk = 0
+  SELECT * EXCLUDE (event_id) REPLACE (CASE WHEN event_id % 20 = 0 THEN '2' ELSE '1' END AS capacity)
+  FROM base WHERE event_id % 10 = 0
 ), typed AS (
   SELECT TRY_CAST(date AS DATE) AS event_date, serial_number, model, TRY_CAST(failure AS BOOLEAN) AS failure,
          TRY_CAST(vault_id AS INTEGER) AS vault_id, TRY_CAST(s9_power_on_hours AS DOUBLE) AS s9_power_on_hours
   FROM raw
+), distinct_typed AS (
+  SELECT TRY_CAST(date AS DATE) AS event_date, serial_number, model, TRY_CAST(failure AS BOOLEAN) AS failure,
+         TRY_CAST(vault_id AS INTEGER) AS vault_id, TRY_CAST(s9_power_on_hours AS DOUBLE) AS s9_power_on_hours
+  FROM (SELECT DISTINCT * FROM raw)
 ), copies AS (
   SELECT * FROM typed
   WHERE event_date IS NOT NULL AND failure IS NOT NULL AND vault_id IS NOT NULL AND s9_power_on_hours IS NOT NULL
-    AND regexp_full_match(serial_number, '[A-Z0-9_-]+') AND regexp_full_match(model, '[A-Z0-9 ]+')
+    AND regexp_full_match(serial_number, '[A-Z0-9_-]+\n?') AND regexp_full_match(model, '[A-Z0-9 ]+\n?')
 ), cleaned AS (
   SELECT DISTINCT * FROM copies
 ), reset AS (
@@ -295,6 +331,7 @@ def _stats_sql(table: str, columns: str) -> str:
     )
 
 
+_OTHER = ", ".join(f'{_percentile(p)} AS "{name}"' for name, p in OTHER_PERCENTILES.items())
 _QUARTILES = ", ".join(f'{_percentile(p)} AS "{name}"' for name, p in QUARTILES.items())
 _STATS = f"CAST(failure AS INTEGER) AS failure, l[1] AS min, {_QUARTILES}, l[n] AS max, n AS count"
 _DISCRETE = ", ".join(
@@ -327,15 +364,23 @@ def oracle_sql() -> dict[str, str]:
             f"SELECT model AS name, failures_count FROM ({_TOP_MODELS.format(k=10)}) UNION ALL "
             f"SELECT CAST(vault_id AS VARCHAR), failures_count FROM ({_TOP_VAULTS.format(k=10)})"
         ),
+        "evaluation": (
+            "SELECT concat(p, q) AS query, 'parquet' AS format, 1 AS worker_nodes, CAST(2 AS BIGINT) AS runs, true AS took_time "
+            "FROM (VALUES (''), ('sql-')) AS a(p), (VALUES ('failure_counts'), ('query1'), ('query2'), ('query3')) AS b(q)"
+        ),
         "drop_nulls": "SELECT * FROM raw WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in RAW_COLUMNS),
         "dedup_rows": "SELECT DISTINCT * FROM raw",
         "cast_project": "SELECT * FROM typed",
-        "filter_serial": "SELECT * FROM raw WHERE regexp_full_match(serial_number, '[A-Z0-9_-]+')",
+        "filter_serial": "SELECT * FROM raw WHERE regexp_full_match(serial_number, '[A-Z0-9_-]+\\n?')",
         "filter_model": "SELECT * FROM raw WHERE regexp_full_match(model, '[A-Z0-9 ]+')",
         "clean": "SELECT * FROM cleaned",
-        "clean_raw_dedup": "SELECT * FROM cleaned",
+        "clean_raw_dedup": (
+            "SELECT * FROM distinct_typed WHERE event_date IS NOT NULL AND failure IS NOT NULL AND vault_id IS NOT NULL "
+            "AND s9_power_on_hours IS NOT NULL AND regexp_full_match(serial_number, '[A-Z0-9_-]+\\n?') "
+            "AND regexp_full_match(model, '[A-Z0-9 ]+')"
+        ),
         "clean_all_copies": "SELECT * FROM copies",
-        "clean_strict_ids": "SELECT * FROM cleaned",
+        "clean_strict_ids": "SELECT * FROM cleaned WHERE regexp_full_match(serial_number, '[A-Z0-9_-]+')",
         "failed_rows": "SELECT * FROM cleaned WHERE failure",
         "failures_by_day_vault": "SELECT * FROM by_day_vault",
         "failures_by_vault_model": _BY_VAULT_MODEL,
@@ -358,9 +403,14 @@ def oracle_sql() -> dict[str, str]:
             "count(*) AS count FROM disks GROUP BY failure"
         ),
         "hours_percentiles_exact": _stats_sql("disks", f"failure, {_QUARTILES}"),
+        "hours_percentiles_other": _stats_sql("disks", f"failure, {_OTHER}"),
         "hours_stats": _stats_sql("disks", _STATS),
         "hours_stats_latest": _stats_sql("latest", _STATS),
         "hours_stats_approx": _STATS_APPROX,
+        "hours_stats_approx_error": (
+            "SELECT failure, percentile, true AS within FROM (SELECT DISTINCT failure FROM disks), "
+            f"(VALUES {', '.join(f"('{name}')" for name in QUARTILES)}) AS p(percentile)"
+        ),
         "sql_views": "SELECT * FROM by_model",
         "sql_vault_days": _VAULT_DAYS,
         "sql_failures_by_vault_model": _BY_VAULT_MODEL,

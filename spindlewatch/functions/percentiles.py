@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from decimal import Decimal
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +20,14 @@ def _fences(probs: Mapping[str, float], accuracy: int) -> list[float]:
     return sorted({min(max(p + side * margin, 0.0), 1.0) for p in probs.values() for side in (-1, 1)})
 
 
+def _decimal(p: float) -> str:
+    """The shortest decimal that is ``p``, as a literal: ranks are whole exactly where the definition has them whole."""
+    digits = format(Decimal(repr(p)), "f")
+    if len(digits) > 20:
+        raise ValueError(f"probability {p!r} has more than 18 decimals")
+    return f"{digits}BD"
+
+
 def stats_exact(
     disks: DataFrame,
     flag: str = "failure",
@@ -39,9 +48,10 @@ def stats_exact(
     3. The counts of the stretches give, exactly, which one holds each wanted rank and how many values precede it.
     4. Only those stretches are sorted, each in its own task, to read off the values.
 
-    The result is exact wherever the fences lie. The sketch's error bound only decides how short the sorted
-    stretches are: about ``6 / accuracy`` of a flag's rows. The frames that are broadcast have one row per value of
-    a boolean, three at most.
+    The result is exact wherever the fences lie: the counts of the stretches and the stretches that are sorted come
+    from the same sketch, which travels with the counts. Its error bound only decides how short the sorted stretches
+    are: about ``6 / accuracy`` of a flag's rows. The frames that are broadcast have one row per value of a boolean,
+    three at most.
     """
     if not isinstance(disks.schema[flag].dataType, T.BooleanType):
         raise TypeError(f"{flag} must be boolean: the broadcasts rely on at most three groups")
@@ -56,9 +66,10 @@ def stats_exact(
 
     # The stretch of a value is the number of fences below it; rows without a value go to stretch -1.
     fences_below = " + ".join(f"CAST(value > cuts[{i}] AS INT)" for i in range(len(fences)))
+    stretch = F.expr(f"coalesce({fences_below}, -1)").alias("stretch")
     placed = (
         counted.join(F.broadcast(cuts.withColumnRenamed("flag", "cuts_flag")), F.expr("flag <=> cuts_flag"))
-        .selectExpr("flag", "value", "n", f"coalesce({fences_below}, -1) AS stretch")
+        .select("flag", "value", "n", "cuts", stretch)
     )
 
     # One row per flag: the size of each stretch, hence where each wanted rank lies.
@@ -66,25 +77,27 @@ def stats_exact(
         F.min("value").alias("low"),
         F.max("value").alias("high"),
         F.sum("n").alias("rows"),
+        F.first("cuts").alias("cuts"),
         F.expr("coalesce(sum(n) FILTER (WHERE stretch >= 0), 0)").alias("total"),
         *[F.expr(f"coalesce(sum(n) FILTER (WHERE stretch < {i}), 0) - "
                  f"coalesce(sum(n) FILTER (WHERE stretch < 0), 0)").alias(f"start_{i}") for i in stretches],
     )
     starts = ", ".join(f"start_{i}" for i in stretches)
     ranks = ", ".join(
-        f"CAST(ceil(total * {p!r}D) AS BIGINT), CAST(floor(total * {p!r}D) + 1 AS BIGINT)" for p in probs.values()
+        f"CAST(ceil(CAST(total AS DECIMAL(19, 0)) * {d}) AS BIGINT), "
+        f"CAST(floor(CAST(total AS DECIMAL(19, 0)) * {d}) + 1 AS BIGINT)"
+        for d in map(_decimal, probs.values())
     )
     located = (
-        sizes.selectExpr("flag AS sizes_flag", "low", "high", "rows", f"array({starts}) AS starts",
+        sizes.selectExpr("flag AS sizes_flag", "low", "high", "rows", "cuts", f"array({starts}) AS starts",
                          f"array({ranks}) AS ranks")
         .withColumn("holding", F.expr("transform(ranks, r -> size(filter(starts, s -> s < r)) - 1)"))
     )
 
     ranked = (
-        placed.join(
-            F.broadcast(located),
-            F.expr("flag <=> sizes_flag AND (stretch < 0 OR array_contains(holding, stretch))"),
-        )
+        counted.join(F.broadcast(located), F.expr("flag <=> sizes_flag"))
+        .select("*", stretch)
+        .where("stretch < 0 OR array_contains(holding, stretch)")
         .withColumn("last_rank", F.expr(
             "CASE WHEN stretch >= 0 THEN starts[stretch] + sum(n) OVER (PARTITION BY flag, stretch ORDER BY value "
             "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END"
@@ -125,6 +138,8 @@ def stats_approx(
     accuracy: int = ACCURACY,
 ) -> DataFrame:
     """As :func:`stats_exact` with approximate percentiles from one sketch; rank error at most n / accuracy."""
+    if not isinstance(disks.schema[flag].dataType, T.BooleanType):
+        raise TypeError(f"{flag} must be boolean")
     quantiles = F.percentile_approx(value, list(probs.values()), accuracy)
     return (
         disks.groupBy(flag)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType
 
 from spindlewatch.schema import MODEL_PATTERN, RAW_COLUMNS, SERIAL_PATTERN, TELEMETRY
 
@@ -22,12 +23,21 @@ def dedup_rows(df: DataFrame) -> DataFrame:
     return df.dropDuplicates()
 
 
+def _typed(df: DataFrame) -> dict[str, Column]:
+    """The telemetry columns by name, from raw columns of any type."""
+    columns = {}
+    for raw, field in zip(RAW_COLUMNS, TELEMETRY.fields):
+        column = F.col(raw)
+        if isinstance(field.dataType, IntegerType) and isinstance(df.schema[raw].dataType, StringType):
+            # A whole number written with a fraction is one to Spark outside ANSI mode, which drops the fraction.
+            column = F.regexp_replace(raw, r"^(\s*[+-]?\d+)\.\d*(\s*)$", "$1$2")
+        columns[field.name] = column.try_cast(field.dataType)
+    return columns
+
+
 def cast_project(df: DataFrame) -> DataFrame:
     """The six telemetry columns, typed. A value that does not parse becomes null instead of failing the job."""
-    return df.select(*[
-        F.col(raw).try_cast(field.dataType).alias(field.name)
-        for raw, field in zip(RAW_COLUMNS, TELEMETRY.fields)
-    ])
+    return df.select(*[column.alias(name) for name, column in _typed(df).items()])
 
 
 def _matches(column: str, pattern: str, strict: bool) -> Column:
@@ -56,10 +66,7 @@ def clean(df: DataFrame, dedup: str | None = "projected", strict_ids: bool = Fal
     if dedup == "raw":
         raw_columns = complete.columns
         slots = {f.name: f"__{f.name}" for f in TELEMETRY.fields}
-        typed = complete.withColumns({
-            slots[field.name]: F.col(raw).try_cast(field.dataType)
-            for raw, field in zip(RAW_COLUMNS, TELEMETRY.fields)
-        })
+        typed = complete.withColumns({slots[name]: column for name, column in _typed(complete).items()})
         valid = (
             typed.na.drop("any", subset=list(slots.values()))
             .where(_matches(slots["serial_number"], SERIAL_PATTERN, strict_ids))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from spindlewatch.operators.cleaning import clean
 from spindlewatch.operators.failures import failures_by_day_vault_model, failures_by_vault_model
 from spindlewatch.plans import reports, sql_reports
-from spindlewatch.plans.timing import mean_times, timed
+from spindlewatch.plans.timing import mean_times, session_workers, timed
 from spindlewatch.schema import AVERAGES, HOURS_STATS, REPORTS, TOP_MODELS, TOP_VAULTS, VAULT_DAYS, Report
 from spindlewatch.sinks.key_value import to_key_value
 from spindlewatch.sinks.tables import BY_DISK, write_result, write_telemetry
@@ -25,9 +25,8 @@ QUERIES = {
 }
 SURFACES = ("core", "sql", "both")
 SQL_PREFIX = "sql-"
-
-# The vault-day list grows with the table; the other results are bounded by k or by the two flags.
-EXPORT_SPLIT = {VAULT_DAYS.name: ("event_date",)}
+# What the run-time log calls the work that the queries of a run share.
+SHARED = "failure_counts"
 
 
 def materialize(df: DataFrame, path: str) -> DataFrame:
@@ -57,6 +56,8 @@ def prepare(
 
 
 def _core(df: DataFrame, query: str, partial_path: str) -> dict[str, Callable[[], DataFrame]]:
+    """What each report reads, and under SHARED the partial that several of them read."""
+
     @cache
     def partial() -> DataFrame:
         counts = failures_by_day_vault_model(df) if query == "all" else failures_by_vault_model(df)
@@ -67,6 +68,7 @@ def _core(df: DataFrame, query: str, partial_path: str) -> dict[str, Callable[[]
         TOP_MODELS.name: lambda: reports.top_models_from(partial()),
         TOP_VAULTS.name: lambda: reports.top_vaults_from(partial()),
         HOURS_STATS.name: lambda: reports.hours_stats(df),
+        SHARED: partial,
     }
 
 
@@ -80,6 +82,7 @@ def _sql(spark: SparkSession, df: DataFrame, partial_path: str) -> dict[str, Cal
         TOP_MODELS.name: lambda: sql_reports.top_models_sql_from(spark, partial()),
         TOP_VAULTS.name: lambda: sql_reports.top_vaults_sql_from(spark, partial()),
         HOURS_STATS.name: lambda: sql_reports.hours_stats_sql(spark, df),
+        SHARED: partial,
     }
 
 
@@ -91,14 +94,17 @@ def process(
     surface: str = "core",
     fmt: str = "parquet",
     timings_path: str | None = None,
-    worker_nodes: int = 1,
+    worker_nodes: int | None = None,
 ) -> dict[str, DataFrame]:
     """Write the selected reports below ``out_dir`` and return the written results by name.
 
-    The failure reports share one small partial, the failures per (day, vault, model), so that they scan the table
-    once between them. It is written beside the results by the first report that needs it. ``timings_path`` appends
-    one row per query to the run-time log, from scan to written result.
+    The failure reports share one small partial, the failures per (day, vault, model), written beside the results, so
+    that they scan the table once between them. ``timings_path`` appends one row per query to the run-time log, from
+    scan to written result. With ``query="all"`` the partial has a row of its own there, so that no query is charged
+    for what others read as well; a query that runs alone is charged for its partial. ``worker_nodes`` is the session's
+    number of executors unless given.
     """
+    worker_nodes = worker_nodes or session_workers(spark)
     if query != "all" and query not in QUERIES:
         raise ValueError(f"query must be one of {', '.join(QUERIES)} or all, not {query!r}")
     if surface not in SURFACES:
@@ -109,6 +115,8 @@ def process(
     timings: list[tuple[str, str, int, float]] = []
 
     def write(frames: Mapping[str, Callable[[], DataFrame]], prefix: str) -> None:
+        if query == "all":
+            timings.append((prefix + SHARED, fmt, worker_nodes, timed(frames[SHARED])))
         for name, query_reports in selected:
             seconds = 0.0
             for base in query_reports:
@@ -147,33 +155,38 @@ def key_values(results: Mapping[str, DataFrame]) -> DataFrame:
     frames = []
     for name, df in results.items():
         report = REPORTS[name.removeprefix(SQL_PREFIX)].renamed(name)
-        frames.append(to_key_value(df, report, EXPORT_SPLIT.get(name.removeprefix(SQL_PREFIX), ())))
+        frames.append(to_key_value(df, report))
     pairs = frames[0]
     for frame in frames[1:]:
         pairs = pairs.unionByName(frame)
     return pairs
 
 
+def log_path(work_dir: str) -> str:
+    """The run-time log of an evaluation in ``work_dir``."""
+    return f"{work_dir}/evaluation.csv"
+
+
 def evaluate(
     spark: SparkSession,
     raw_paths: Mapping[str, str],
     work_dir: str,
     runs: int = 10,
-    worker_nodes: int = 1,
+    worker_nodes: int | None = None,
 ) -> DataFrame:
     """Run all reports on both surfaces ``runs`` times per format, log every run, and write and return the means.
 
     ``raw_paths`` maps a format to the raw table in it. Each run reads the cleaned table anew; nothing is cached
     between runs.
     """
-    log_path = f"{work_dir}/evaluation.csv"
+    log = log_path(work_dir)
     for fmt, raw_path in raw_paths.items():
         clean_path = f"{work_dir}/preprocessed.{fmt}"
         prepare(spark, raw_path, clean_path, fmt)
         for _ in range(runs):
             process(
                 spark, clean_path, f"{work_dir}/results", "all", "both", fmt,
-                timings_path=log_path, worker_nodes=worker_nodes,
+                timings_path=log, worker_nodes=worker_nodes,
             )
-    write_result(mean_times(read_timing_log(spark, log_path)), work_dir, AVERAGES)
+    write_result(mean_times(read_timing_log(spark, log)), work_dir, AVERAGES)
     return read_result(spark, work_dir, AVERAGES)

@@ -56,9 +56,8 @@ def top_vaults_from(partial: DataFrame, k: int = 10) -> DataFrame:
 
 
 def _hours_report(stats: DataFrame) -> DataFrame:
-    """Name and sort the rows. A boolean has three values at most, so as a top three the sort needs no shuffle."""
     named = stats.withColumn("failure", F.col("failure").cast("int")).select(*HOURS_STATS.schema.names)
-    return top_k(named, HOURS_STATS, 3)
+    return HOURS_STATS.sorted(named)
 
 
 def hours_stats(df: DataFrame, hours: str = "max", accuracy: int = ACCURACY) -> DataFrame:

@@ -60,7 +60,6 @@ SELECT CAST(failed AS INT) AS failure, low AS min, q[0] AS `25th_percentile`, q[
        q[2] AS `75th_percentile`, high AS max, n AS count
 FROM summary
 ORDER BY failure
-LIMIT 3  -- one row per value of a boolean: all of them
 """
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Callable, Mapping
 
@@ -18,6 +19,14 @@ def timed(action: Callable[[], object]) -> float:
     return time.perf_counter() - start
 
 
+def session_workers(spark: SparkSession) -> int:
+    """Executors that a session asks for; a local session is one worker."""
+    master = spark.conf.get("spark.master", None) or ""
+    if found := re.fullmatch(r"local-cluster\[(\d+),.*\]", master):
+        return int(found[1])
+    return 1 if master.startswith("local") else int(spark.conf.get("spark.executor.instances", "1"))
+
+
 def run_seconds(frame: DataFrame) -> float:
     """Seconds to compute every row of ``frame``; the ``noop`` sink discards them on the executors."""
     return timed(frame.write.format("noop").mode("overwrite").save)
@@ -27,11 +36,12 @@ def measure(
     spark: SparkSession,
     frames: Mapping[str, Callable[[], DataFrame]],
     fmt: str = "parquet",
-    worker_nodes: int = 1,
+    worker_nodes: int | None = None,
     runs: int = 10,
     warm_up: int = 1,
 ) -> DataFrame:
     """Time each frame ``runs`` times, scan to result, as rows of the run-time log."""
+    worker_nodes = worker_nodes or session_workers(spark)
     rows = []
     for name, build in frames.items():
         for _ in range(warm_up):

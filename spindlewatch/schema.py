@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,12 +34,16 @@ TIMING_LOG = T.StructType([
 
 @dataclass(frozen=True)
 class Report:
-    """Name, schema and row order of one result; ``descending`` lists the columns sorted downwards."""
+    """Name, schema and row order of one result; ``descending`` lists the columns sorted downwards.
+
+    A result that grows with the table is exported as one value for each combination of ``split_by``.
+    """
 
     name: str
     schema: T.StructType
     sort: tuple[str, ...]
     descending: tuple[str, ...] = ()
+    split_by: tuple[str, ...] = ()
 
     def order(self) -> list[Column]:
         return [F.desc(c) if c in self.descending else F.asc(c) for c in self.sort]
@@ -48,7 +52,7 @@ class Report:
         return df.orderBy(*self.order())
 
     def renamed(self, name: str) -> Report:
-        return Report(name, self.schema, self.sort, self.descending)
+        return replace(self, name=name)
 
 
 # Report names, headers and sort orders.
@@ -60,6 +64,7 @@ VAULT_DAYS = Report(
         T.StructField("failures_count", T.LongType()),
     ]),
     sort=("event_date", "vault_id", "failures_count"),
+    split_by=("event_date",),
 )
 TOP_MODELS = Report(
     "query2-1",

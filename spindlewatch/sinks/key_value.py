@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
@@ -23,15 +23,14 @@ def _compare(report: Report) -> Callable[[Column, Column], Column]:
     return compare
 
 
-def to_key_value(df: DataFrame, report: Report, split_by: Sequence[str] = ()) -> DataFrame:
+def to_key_value(df: DataFrame, report: Report) -> DataFrame:
     """One ``(key, value)`` row per array of result rows: a JSON array of typed objects, in the report's order.
 
-    Without ``split_by`` the whole result becomes one value under the report's name. That suits results of known
-    small size, the top-k lists and the two rows of hour statistics. The vault-day list grows with the table, so
-    split it, for example by ``event_date``: one array per day, under ``name/day``, never longer than the number of
-    vaults.
+    The results of known small size, the top-k lists and the two rows of hour statistics, become one value under the
+    report's name. The vault-day list grows with the table and is split as its report says: one array per day, under
+    ``name/day``, never longer than the number of vaults.
     """
-    key = F.concat_ws("/", F.lit(report.name), *[F.col(c).cast("string") for c in split_by])
+    key = F.concat_ws("/", F.lit(report.name), *[F.col(c).cast("string") for c in report.split_by])
     rows = F.array_sort(F.collect_list(F.struct(*report.schema.names)), _compare(report))
     return (
         df.groupBy(key.alias("key")).agg(F.to_json(rows, JSON_OPTIONS).alias("value"))

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from spindlewatch.schema import Report
 from spindlewatch.sources.tables import check_format
 
-# Rows of healthy days by disk. Failed rows, few and read apart from the others, share the null key.
-BY_DISK = "CASE WHEN NOT failure THEN xxhash64(serial_number) END"
+# Rows of healthy days by disk. Failed rows, few and read apart from the others, have 64 keys of their own.
+BY_DISK = "CASE WHEN failure THEN pmod(xxhash64(serial_number), 64) ELSE xxhash64(serial_number) END"
 
 
 def write_telemetry(
@@ -34,7 +34,8 @@ def write_telemetry(
     """
     if cluster_by:
         df = df.withColumn("__key", F.expr(cluster_by)).hint("rebalance", "__key").drop("__key")
-    writer = df.write.format(check_format(fmt)).mode(mode)
+    # An overwrite replaces the whole table, whatever the session has set.
+    writer = df.write.format(check_format(fmt)).mode(mode).option("partitionOverwriteMode", "static")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.save(path)

@@ -32,23 +32,28 @@ def _every(n: int) -> Column:
 
 
 def raw_telemetry(events: DataFrame) -> DataFrame:
-    """Dirty daily telemetry, all strings: nulls, bad identifiers, unparsable hours and exact duplicates."""
+    """Dirty daily telemetry, all strings: nulls, bad identifiers, identifiers that end in a newline, unparsable hours,
+    vaults written as decimal fractions, and duplicates, half of which differ in a column that no report uses."""
     copies = F.when(_every(10), 2).otherwise(1)
     return events.select(
         F.col("ts").cast("date").cast("string").alias("date"),
-        _disk(F.when(_every(83), "sn#").otherwise("SN-")).alias("serial_number"),
+        F.concat(_disk(F.when(_every(83), "sn#").otherwise("SN-")), F.when(_every(67), "\n").otherwise("")).alias("serial_number"),
         F.when(_every(97), F.lit(None).cast("string"))
         .when(_every(89), F.concat(F.lit("mdl "), (F.col("user_id") % 25).cast("string")))
         .otherwise(F.concat(F.lit("MDL "), (F.col("user_id") % 25).cast("string")))
         .alias("model"),
         F.when(_failed(), "1").otherwise("0").alias("failure"),
-        F.when(~_every(73), (1000 + F.col("user_id") % 40).cast("string")).alias("vault_id"),
+        F.when(
+            ~_every(73),
+            F.concat((1000 + F.col("user_id") % 40).cast("string"), F.when(_every(71), ".0").otherwise("")),
+        ).alias("vault_id"),
         F.when(_every(79), "n/a").otherwise(_hours().cast("string")).alias("s9_power_on_hours"),
-        copies.alias("copies"),
+        _every(20).alias("differ"),
+        F.explode(F.sequence(F.lit(1), copies)).alias("copy"),
     ).select(
         "date", "serial_number", "model", "failure", "vault_id", "s9_power_on_hours",
-        F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("copy"),
-    ).drop("copy")
+        F.when(F.col("differ"), F.col("copy").cast("string")).otherwise("1").alias("capacity"),
+    )
 
 
 def reset_telemetry(events: DataFrame) -> DataFrame:

@@ -29,8 +29,11 @@ def read_telemetry(spark: SparkSession, path: str, fmt: str = "parquet") -> Data
 
 
 def read_result(spark: SparkSession, directory: str, report: Report) -> DataFrame:
-    """A written report, with its declared types and not as strings."""
-    return spark.read.schema(report.schema).csv(f"{directory}/{report.name}.csv", header=True)
+    """A written report, with its declared types and not as strings, in its order.
+
+    The file source packs part files by size, so the order they were written in is not the order they are read in.
+    """
+    return report.sorted(spark.read.schema(report.schema).csv(f"{directory}/{report.name}.csv", header=True))
 
 
 def read_timing_log(spark: SparkSession, path: str) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -9,6 +12,7 @@ from pyspark.sql.types import StructType
 
 from spindlewatch.operators.cleaning import clean
 from spindlewatch.schema import TELEMETRY
+from spindlewatch.shared import written
 from spindlewatch.sinks.tables import write_telemetry
 from spindlewatch.sources.tables import check_format, read_telemetry
 
@@ -22,6 +26,31 @@ def raw_stream(spark: SparkSession, directory: str, schema: StructType, fmt: str
     return spark.readStream.format(check_format(fmt)).schema(schema).options(**options).load(directory)
 
 
+# Up to this many days are listed in the filter of a batch's lookup; beyond, the whole table is compared.
+MOST_DAYS = 10_000
+
+
+def check_layout(spark: SparkSession, path: str, fmt: str = "parquet") -> None:
+    """Raise if the table at ``path`` has files that are not laid out for ingest.
+
+    Files of two layouts in one table cannot be read any more. :func:`convert` makes an ingest table of another.
+    """
+    try:
+        found = spark.read.format(check_format(fmt)).schema(TELEMETRY).load(path).select("_metadata.file_path").take(1)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return
+    folders = re.findall(r"/([^/=]+)=[^/]*(?=/)", found[0].file_path.removeprefix(path)) if found else None
+    if folders is not None and tuple(folders[-2:]) != LAYOUT["partition_by"]:
+        raise ValueError(f"{path} is partitioned by {folders}, not by {LAYOUT['partition_by']}; convert it first")
+
+
+def convert(spark: SparkSession, prepared: str, path: str, fmt: str = "parquet") -> None:
+    """Write the cleaned table at ``prepared``, of any layout, as a new table at ``path`` that batches can go on."""
+    write_telemetry(read_telemetry(spark, prepared, fmt), path, fmt, **LAYOUT, mode="errorifexists")
+
+
 def new_rows(batch: DataFrame, path: str, fmt: str = "parquet") -> DataFrame:
     """The cleaned rows of ``batch`` that the table at ``path`` does not hold yet.
 
@@ -30,16 +59,20 @@ def new_rows(batch: DataFrame, path: str, fmt: str = "parquet") -> DataFrame:
     against the days that the batch touches. It is exact in any arrival order, holds no state, and makes a batch
     that is run again after a failure write nothing twice.
 
-    Both sides hold a row once and are hashed on every column, so no key of the join can be hot.
+    Both sides hold a row once and are hashed on every column, so no key of the join can be hot. The batch is cleaned
+    once, into a scratch table; its days, no more than the calendar has, filter the partitions of the table exactly.
     """
-    first_day, last_day = clean(batch, dedup=None).agg(F.min("event_date"), F.max("event_date")).first()
-    held = read_telemetry(batch.sparkSession, path, fmt).where(
-        F.col("event_date").between(F.lit(first_day), F.lit(last_day))
-    )
-    return clean(batch).join(held, TELEMETRY.names, "left_anti")
+    spark = batch.sparkSession
+    cleaned = written(spark, clean(batch), "batch")
+    days = [r.event_date for r in cleaned.select("event_date").distinct().take(MOST_DAYS + 1)]
+    held = read_telemetry(spark, path, fmt)
+    if len(days) <= MOST_DAYS:
+        held = held.where(F.col("event_date").isin(days))
+    return cleaned.join(held, TELEMETRY.names, "left_anti")
 
 
 def append_new(batch: DataFrame, path: str, fmt: str = "parquet") -> None:
+    check_layout(batch.sparkSession, path, fmt)
     write_telemetry(new_rows(batch, path, fmt), path, fmt, **LAYOUT, mode="append")
 
 
@@ -54,6 +87,7 @@ def ingest(
     Run it again when more has arrived; ``checkpoint`` remembers which files are done.
     """
     spark = raw.sparkSession
+    check_layout(spark, path, fmt)
     write_telemetry(spark.createDataFrame([], TELEMETRY), path, fmt, **LAYOUT, mode="append")
     return (
         raw.writeStream

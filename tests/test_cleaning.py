@@ -101,3 +101,18 @@ def test_cleaning_twice_changes_nothing(spark):
     once = cleaning.clean(raw(spark, GOOD, GOOD, changed(model="m"), changed(serial_number="SN-2")))
     twice = cleaning.clean(once.withColumnRenamed("event_date", "date"))
     assert sorted(once.collect()) == sorted(twice.collect())
+
+
+@pytest.mark.parametrize("text, vault", [
+    ("1122.0", 1122), ("1122.7", 1122), (" 7 ", 7), ("-3.9", -3), ("8.", 8), ("12x", None), ("1.2.3", None), ("1e3", None), ("x.0", None),
+    ("99999999999", None), ("99999999999.0", None), ("", None),
+])
+def test_whole_numbers_written_with_a_fraction(spark, text, vault):
+    assert cleaning.cast_project(raw(spark, changed(vault_id=text))).first().vault_id == vault
+    kept = cleaning.clean(raw(spark, changed(vault_id=text))).count()
+    assert kept == cleaning.clean(raw(spark, changed(vault_id=text)), dedup="raw").count() == (vault is not None)
+
+
+def test_columns_that_are_typed_already(spark):
+    df = raw(spark, GOOD).selectExpr(*RAW_COLUMNS[:4], "1122.7D AS vault_id", "12.5D AS s9_power_on_hours")
+    assert cleaning.clean(df).first().vault_id == 1122

@@ -3,6 +3,7 @@ import json
 import pytest
 
 from spindlewatch.plans import job, reports, sql_reports
+from spindlewatch.plans.timing import session_workers
 from spindlewatch.operators.cleaning import clean
 from spindlewatch.schema import REPORTS
 from spindlewatch.shared import scratch_path
@@ -10,6 +11,7 @@ from spindlewatch.sources.events_view import raw_telemetry, read_events
 from spindlewatch.sources.tables import read_timing_log
 
 SF_DIR = "/root/testdata/sf0.01"
+RUNS = {f"{p}{q}" for p in ("", "sql-") for q in ("failure_counts", "query1", "query2", "query3")}
 NAMES = {"query1", "query2-1", "query2-2", "query3"}
 
 
@@ -29,15 +31,15 @@ def test_all_reports_on_both_surfaces(spark, raw_path, cleaned, tmp_path):
     log = f"{tmp_path}/evaluation.csv"
     results = job.run(spark, raw_path, str(tmp_path), surface="both", timings_path=log, worker_nodes=8)
     assert set(results) == NAMES | {f"sql-{n}" for n in NAMES}
-    assert sorted(results["query1"].collect()) == reports.vault_days(cleaned).collect()
+    assert results["query1"].collect() == reports.vault_days(cleaned).collect()
     assert results["query2-1"].collect() == reports.top_models(cleaned).collect()
     assert results["query2-2"].collect() == reports.top_vaults(cleaned).collect()
     assert results["query3"].collect() == reports.hours_stats(cleaned).collect()
     assert results["sql-query3"].collect() == reports.hours_stats_approx(cleaned).collect()
     for name in ("query1", "query2-1", "query2-2"):
-        assert sorted(results[name].collect()) == sorted(results[f"sql-{name}"].collect())
+        assert results[name].collect() == results[f"sql-{name}"].collect()
     runs = read_timing_log(spark, log).collect()
-    assert {r.query for r in runs} == {f"{p}query{i}" for p in ("", "sql-") for i in (1, 2, 3)}
+    assert {r.query for r in runs} == RUNS
     assert {(r.format, r.worker_nodes) for r in runs} == {("parquet", 8)}
 
     pairs = {k: json.loads(v) for k, v in job.key_values(results).collect()}
@@ -89,10 +91,30 @@ def test_surfaces_agree(spark, cleaned, core, sql):
 
 def test_evaluation(spark, raw_path, tmp_path):
     means = job.evaluate(spark, {"parquet": raw_path}, str(tmp_path), runs=2, worker_nodes=4).collect()
-    assert [r.query for r in means] == [f"{p}query{i}" for p in ("", "sql-") for i in (1, 2, 3)]
-    log = read_timing_log(spark, f"{tmp_path}/evaluation.csv").collect()
-    assert len(log) == 12
+    assert [r.query for r in means] == sorted(RUNS)
+    log = read_timing_log(spark, job.log_path(str(tmp_path))).collect()
+    assert len(log) == 16
     for row in means:
         assert (row.format, row.worker_nodes) == ("parquet", 4)
         runs = [r.execution_time for r in log if r.query == row.query]
         assert row.execution_time == pytest.approx(sum(runs) / 2)
+
+
+def test_a_query_alone_is_charged_for_its_partial(spark, raw_path, tmp_path):
+    job.prepare(spark, raw_path, f"{tmp_path}/clean")
+    log = f"{tmp_path}/log"
+    job.process(spark, f"{tmp_path}/clean", f"{tmp_path}/out", "2", "both", timings_path=log)
+    assert {(r.query, r.worker_nodes) for r in read_timing_log(spark, log).collect()} == {("query2", 1), ("sql-query2", 1)}
+
+
+@pytest.mark.parametrize("conf, workers", [
+    ({"spark.master": "local[8]"}, 1), ({"spark.master": "local-cluster[3,2,1024]"}, 3),
+    ({"spark.master": "yarn", "spark.executor.instances": "40"}, 40), ({}, 1),
+])
+def test_workers_come_from_the_session(conf, workers):
+    class Session:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default=None: conf_of.get(key, default))
+
+    conf_of = conf
+    assert session_workers(Session) == workers

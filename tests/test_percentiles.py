@@ -1,5 +1,5 @@
-import math
 import random
+from collections import Counter
 from fractions import Fraction
 
 import pytest
@@ -12,12 +12,16 @@ from spindlewatch.schema import QUARTILES
 SCHEMA = "failure boolean, s9_power_on_hours double"
 
 
-def defined(values, p):
-    """The definition, spelled out over a sorted list."""
-    values, product = sorted(values), Fraction(p) * len(values)
-    if product.denominator == 1:
-        return (values[int(product) - 1] + values[int(product)]) / 2
-    return values[math.floor(product)]
+def defined(numbers, p):
+    """The inverse of the empirical distribution at ``p``: the mean of the least number whose cumulative share reaches
+    ``p`` and the least whose share exceeds it. ``p`` is the decimal it is written as."""
+    wanted, shares, seen = Fraction(str(p)), {}, 0
+    for number, times in sorted(Counter(numbers).items()):
+        seen += times
+        shares[number] = Fraction(seen, len(numbers))
+    reached = min(number for number, share in shares.items() if share >= wanted)
+    exceeded = min(number for number, share in shares.items() if share > wanted)
+    return (reached + exceeded) / 2 if reached != exceeded else reached
 
 
 def frame(spark, groups):
@@ -84,12 +88,43 @@ def test_other_probabilities(spark):
     assert (row.p1, row.p99, row.p999) == tuple(defined(values, p) for p in (0.01, 0.99, 0.999)) == (11.0, 991.0, 1000.0)
 
 
+def test_ranks_are_decimal(spark):
+    """Products of these and 100 are whole, which binary fractions miss."""
+    values = [float(v) for v in range(1, 101)]
+    probs = {f"p{int(100 * p + 0.5)}": p for p in (0.07, 0.14, 0.28, 0.29, 0.55)}
+    row = percentiles_exact(frame(spark, {True: values}), probs=probs).first()
+    assert tuple(row)[1:] == (7.5, 14.5, 28.5, 29.5, 55.5)
+
+
+@settings(max_examples=20, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.integers(1, 400), st.lists(st.integers(1, 9999), min_size=1, max_size=4, unique=True))
+def test_any_probabilities_and_sizes(spark, n, parts):
+    values = [float(v * v % 101) for v in range(n)]
+    probs = {f"p{k}": k / 10_000 for k in parts}
+    row = percentiles_exact(frame(spark, {False: values}), probs=probs).first()
+    assert tuple(row)[1:] == tuple(defined(values, p) for p in probs.values())
+
+
+def test_one_sketch_serves_counts_and_ranks(spark):
+    """Without reuse of shuffles the sketch is not computed a second time for the ranking."""
+    values = [float(v) for v in random.Random(4).sample(range(100_000), 3_000)]
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        check(spark, {True: values, False: values[:77]}, accuracy=50)
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+
+
 def test_rejects_what_it_cannot_bound(spark):
     df = spark.createDataFrame([("a", 1.0)], "failure string, s9_power_on_hours double")
     with pytest.raises(TypeError):
         stats_exact(df)
     with pytest.raises(ValueError):
         stats_exact(frame(spark, {True: [1.0]}), probs={"top": 1.0})
+    with pytest.raises(ValueError, match="decimals"):
+        stats_exact(frame(spark, {True: [1.0]}), probs={"fine": 1e-20})
+    with pytest.raises(TypeError):
+        stats_approx(df)
 
 
 def test_approximate_rank_error_is_bounded(spark):

@@ -97,9 +97,9 @@ def test_cleaning_shuffles_once_and_combines_copies_first(spark):
     assert "RLIKE" in before
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(contract._telemetry_queries()))
 def test_no_python_and_no_cross_join(spark, name):
-    df = contract.queries()[name](spark, "/root/testdata/sf0.001")
+    df = contract._telemetry_queries()[name](spark, "/root/testdata/sf0.001")
     plan = df._jdf.queryExecution().executedPlan().toString()
     for operator in ("Python", "ArrowEval", "CartesianProduct", "BroadcastNestedLoopJoin"):
         assert operator not in plan

@@ -114,7 +114,7 @@ def test_json_has_types_nulls_and_order(spark):
 
 def test_json_split_by_day(spark):
     df = spark.createDataFrame([(day(2), 1, 2), (day(1), 2, 3), (day(1), 1, 4)], VAULT_DAYS.schema)
-    pairs = {k: json.loads(v) for k, v in to_key_value(df, VAULT_DAYS, ("event_date",)).collect()}
+    pairs = {k: json.loads(v) for k, v in to_key_value(df, VAULT_DAYS).collect()}
     assert pairs == {
         "query1/2024-01-01": [
             {"event_date": "2024-01-01", "vault_id": 1, "failures_count": 4},
@@ -156,3 +156,27 @@ def test_measure(spark):
     rows = log.collect()
     assert [(r.query, r.format, r.worker_nodes) for r in rows] == [("a", "avro", 4)] * 3 + [("b", "avro", 4)] * 3
     assert all(r.execution_time > 0 for r in rows)
+
+
+def test_an_overwrite_replaces_everything_whatever_the_session_says(spark, tmp_path):
+    path = f"{tmp_path}/table"
+    write_telemetry(telemetry(spark, [(1, "SN-1", "M", True, 1, 1.0), (1, "SN-2", "M", False, 1, 1.0)]), path)
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    try:
+        write_telemetry(telemetry(spark, [(2, "SN-3", "M", False, 1, 1.0)]), path)
+    finally:
+        spark.conf.unset("spark.sql.sources.partitionOverwriteMode")
+    assert [r.serial_number for r in read_telemetry(spark, path).collect()] == ["SN-3"]
+
+
+def test_a_result_of_many_parts_is_read_in_order(spark, tmp_path):
+    rows = spark.range(20_000).selectExpr(
+        "date_add(DATE'2024-01-01', CAST(id % 300 AS INT)) AS event_date", "CAST(id AS INT) AS vault_id", "2L AS failures_count"
+    )
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        write_result(rows, str(tmp_path), VAULT_DAYS)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    read = [(r.event_date, r.vault_id) for r in read_result(spark, str(tmp_path), VAULT_DAYS).collect()]
+    assert len(read) == 20_000 and read == sorted(read)

@@ -1,10 +1,13 @@
 import os
 import re
 
+import pytest
+
 from spindlewatch.operators.cleaning import clean
 from spindlewatch.schema import RAW_COLUMNS
+from spindlewatch.sinks.tables import write_telemetry
 from spindlewatch.sources.tables import read_telemetry
-from spindlewatch.streaming.ingest import append_new, ingest, new_rows, raw_stream
+from spindlewatch.streaming.ingest import LAYOUT, append_new, convert, ingest, new_rows, raw_stream
 
 SCHEMA = ", ".join(f"{c} string" for c in RAW_COLUMNS)
 
@@ -70,12 +73,30 @@ def test_a_batch_without_a_valid_row(spark, tmp_path):
     assert arrive(spark, tmp_path) == []
 
 
-def test_a_batch_reads_its_own_days_of_the_table_only(spark, tmp_path):
-    os.mkdir(f"{tmp_path}/in")
-    put(spark, tmp_path, 0, FILES[0])
-    arrive(spark, tmp_path)
-    batch = spark.createDataFrame(rows(2, ["SN-3", "SN-5"]), SCHEMA)
-    new = new_rows(batch, f"{tmp_path}/table")
+def test_a_batch_reads_exactly_its_own_days_of_the_table(spark, tmp_path):
+    table = f"{tmp_path}/table"
+    everything = [r for day in range(1, 31) for r in rows(day, [f"SN-{i}" for i in range(5)])]
+    write_telemetry(clean(spark.createDataFrame(everything, SCHEMA)), table, **LAYOUT)
+    batch = spark.createDataFrame(rows(1, ["SN-3", "SN-5"]) + rows(30, ["SN-4", "SN-9"]), SCHEMA)
+    new = new_rows(batch, table)
+    assert sorted(r.serial_number for r in new.collect()) == ["SN-5", "SN-9"]
     plan = new._jdf.queryExecution().executedPlan().toString()
-    assert re.search(r"PartitionFilters: \[[^\]]*event_date[^\]]* >= 2024-01-02", plan)
-    assert [r.serial_number for r in new.collect()] == ["SN-5"]
+    assert re.search(r"PartitionFilters: \[[^\]]*event_date[^\]]* IN \(2024-01-01,2024-01-30\)", plan)
+
+
+def test_a_table_of_another_layout_is_refused_before_anything_is_written(spark, tmp_path):
+    prepared, table = f"{tmp_path}/prepared", f"{tmp_path}/table"
+    whole = clean(spark.createDataFrame(rows(1, ["SN-1"]) + rows(2, ["SN-2"]), SCHEMA))
+    write_telemetry(whole, prepared)
+    batch = spark.createDataFrame(rows(2, ["SN-2", "SN-3"]), SCHEMA)
+    with pytest.raises(ValueError, match="convert"):
+        append_new(batch, prepared)
+    schema = spark.createDataFrame([], SCHEMA).schema
+    os.mkdir(f"{tmp_path}/in")
+    with pytest.raises(ValueError, match="convert"):
+        ingest(raw_stream(spark, f"{tmp_path}/in", schema), prepared, f"{tmp_path}/state")
+    assert sorted(read_telemetry(spark, prepared).collect()) == sorted(whole.collect())
+
+    convert(spark, prepared, table)
+    append_new(batch, table)
+    assert sorted(r.serial_number for r in read_telemetry(spark, table).collect()) == ["SN-1", "SN-2", "SN-3"]
