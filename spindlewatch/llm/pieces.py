@@ -12,7 +12,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-KEPT = 1 << 20
+KEPT = 1 << 19
+# The library's results are large objects, so it gets this many pieces at a time.
+_LOT = 1 << 14
 
 
 def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -46,12 +48,14 @@ class Dictionary:
             self._forget()
         new = coded.dictionary.filter(pc.is_null(pc.index_in(coded.dictionary, value_set=self.known)))
         if len(new):
-            made = self.encode(new.to_pylist())
-            counts = np.fromiter(map(len, made), np.int64, len(made))
-            flat = np.fromiter((i for ids in made for i in ids), np.uint32, int(counts.sum()))
+            counts, flat = [], []
+            for at in range(0, len(new), _LOT):
+                made = self.encode(new.slice(at, _LOT).to_pylist())
+                counts.append(np.fromiter(map(len, made), np.int64, len(made)))
+                flat.append(np.fromiter((i for ids in made for i in ids), np.uint32, int(counts[-1].sum())))
             self.known = pa.concat_arrays([self.known, new])
-            self.ids = np.concatenate([self.ids, flat])
-            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(counts)])
+            self.ids = np.concatenate([self.ids, *flat])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate(counts))])
         place = pc.index_in(coded.dictionary, value_set=self.known).to_numpy()[coded.indices.to_numpy()]
         counts = self.ends[place + 1] - self.ends[place]
         return self.ids[spread(self.ends[place], counts)], counts

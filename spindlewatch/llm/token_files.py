@@ -24,8 +24,8 @@ from spindlewatch.llm.words import Words, slices
 from spindlewatch.shared import scratch_path, written
 
 MAGIC = b"SPIDS8B1"
-FILE_IDS = 1 << 24
-_SLICE = 8 << 20
+FILE_IDS = 1 << 25
+_SLICE = 2 << 20
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
@@ -73,18 +73,55 @@ def _encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def _pack(ids: list[int | None], counts: np.ndarray, values: np.ndarray) -> bytes:
-    words, per_block, escaped, escapes = simple8b.encode(values)
-    null = np.array([i is None for i in ids], np.uint8)
-    footer = b"".join(
-        x.tobytes()
-        for x in (
-            np.array([len(ids), len(per_block), len(words), len(escaped), len(values)], "<u8"),
-            np.array([i or 0 for i in ids], "<i8"), null, counts.astype("<u8"),
-            (np.cumsum(per_block) - per_block).astype("<u8"), (np.cumsum(escapes) - escapes).astype("<u8"),
+class _File:
+    """A token file that is being written, block by block."""
+
+    def __init__(self, stream):
+        self.stream = stream
+        self.size = stream.write(MAGIC)
+        self.ids: list[int | None] = []
+        self.counts: list[np.ndarray] = []
+        self.per_block: list[np.ndarray] = []
+        self.escaped: list[np.ndarray] = []
+        self.escapes: list[np.ndarray] = []
+        self.rest = np.zeros(0, np.uint32)
+        self.n_ids = 0
+
+    def _write(self, data: bytes) -> None:
+        self.stream.write(data)
+        self.size += len(data)
+
+    def _code(self, values: np.ndarray) -> None:
+        words, per_block, escaped, escapes = simple8b.encode(values)
+        self._write(words.astype("<u8").tobytes())
+        self.per_block.append(per_block)
+        self.escaped.append(escaped)
+        self.escapes.append(escapes)
+
+    def add(self, ids: list[int | None], counts: np.ndarray, values: np.ndarray) -> None:
+        self.ids += ids
+        self.counts.append(counts)
+        self.n_ids += len(values)
+        values = np.concatenate([self.rest, values])
+        whole = len(values) // simple8b.BLOCK * simple8b.BLOCK
+        self._code(values[:whole])
+        self.rest = values[whole:].copy()
+
+    def close(self) -> None:
+        self._code(self.rest)
+        per_block, escapes = np.concatenate(self.per_block), np.concatenate(self.escapes)
+        escaped = np.concatenate(self.escaped)
+        self._write(escaped.astype("<u8").tobytes())
+        footer = b"".join(
+            x.tobytes()
+            for x in (
+                np.array([len(self.ids), len(per_block), per_block.sum(), len(escaped), self.n_ids], "<u8"),
+                np.array([i or 0 for i in self.ids], "<i8"), np.array([i is None for i in self.ids], np.uint8),
+                np.concatenate(self.counts).astype("<u8"),
+                (np.cumsum(per_block) - per_block).astype("<u8"), (np.cumsum(escapes) - escapes).astype("<u8"),
+            )
         )
-    )
-    return b"".join([MAGIC, words.astype("<u8").tobytes(), escaped.astype("<u8").tobytes(), footer, len(footer).to_bytes(8, "little"), MAGIC])
+        self._write(footer + len(footer).to_bytes(8, "little") + MAGIC)
 
 
 class Reader:
@@ -122,34 +159,23 @@ class Reader:
 def _writer(folder: str, path: str, end: int, file_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(path)
-        docs: list[int | None] = []
-        counts: list[np.ndarray] = []
-        values: list[np.ndarray] = []
-        part = None
-
-        def flush() -> pa.RecordBatch:
-            data = _pack(docs, np.concatenate(counts), np.concatenate(values))
+        lots = (
+            (batch.column("text").slice(a, b - a), batch.column("doc_id").slice(a, b - a), batch.column("place")[a].as_py())
+            for batch in batches
+            for a, b in slices(batch.column("text"), _SLICE)
+        )
+        lot = next(lots, None)
+        while lot is not None:
+            place = lot[2]
             with new_file(folder, ".ids") as (uri, stream):
-                stream.write(data)
-            row = {"file": [uri], "bytes": [len(data)], "place": [part], "ids": [sum(len(v) for v in values)], "docs": [len(docs)]}
-            for held in (docs, counts, values):
-                held.clear()
-            return pa.RecordBatch.from_pydict(row)
-
-        for batch in batches:
-            texts, ids, place = batch.column("text"), batch.column("doc_id"), batch.column("place")
-            for a, b in slices(texts, _SLICE):
-                part = place[a].as_py() if part is None else part
-                found, count = encode(texts.slice(a, b - a))
-                ends = np.cumsum(count)
-                values.append(np.insert(found, ends, end).astype(np.uint64))
-                counts.append(count + 1)
-                docs.extend(ids.slice(a, b - a).to_pylist())
-                if sum(len(v) for v in values) >= file_ids:
-                    yield flush()
-                    part = None
-        if docs:
-            yield flush()
+                file = _File(stream)
+                while lot is not None and file.n_ids < file_ids:
+                    found, count = encode(lot[0])
+                    file.add(lot[1].to_pylist(), count + 1, np.insert(found, np.cumsum(count), end))
+                    lot = next(lots, None)
+                file.close()
+            row = {"file": [uri], "bytes": [file.size], "place": [place], "ids": [file.n_ids], "docs": [len(file.ids)]}
+            yield pa.RecordBatch.from_pydict(row)
 
     return run
 
