@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spindlewatch.llm.columns import computed
 from spindlewatch.shared import written
 
 WINDOW = 8
@@ -80,7 +81,7 @@ def _items(benchmark: DataFrame) -> DataFrame:
     slots are the places of the window's placeholders, windows the number of such windows of the item."""
     tokens = benchmark.select(F.col("item_id").cast("long").alias("item"), _tokens(F.col("text")).alias("tokens"))
     tokens = tokens.where(F.col("item").isNotNull()).distinct()
-    made = tokens.select("item", "tokens", _template("tokens").alias("template"))
+    made = computed(tokens, ["item"], template=_template("tokens"))
     rows = made.select("item", "template", F.explode(_windows("template")).alias("w"))
     own = F.slice("template", F.col("w.at") + 1, WINDOW)
     slots = F.size(F.filter(own, lambda t: t.isin(_NUMBER_SLOT, _NAME_SLOT, _UNIT_SLOT)))
@@ -100,8 +101,8 @@ def matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataF
     else:
         known = items
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-    made = own.select("doc_id", "text_hash", _tokens(F.col("text")).alias("tokens"))
-    made = made.select("doc_id", "text_hash", _template("tokens").alias("template"))
+    made = computed(own, ["doc_id", "text_hash"], tokens=_tokens(F.col("text")))
+    made = computed(made, ["doc_id", "text_hash"], template=_template("tokens"))
     rows = made.select("doc_id", "text_hash", F.explode(_windows("template")).alias("w")).select("doc_id", "text_hash", "w.at", "w.hash")
     hits = rows.join(known.select("item", F.col("at").alias("item_at"), "hash", "slots", "windows"), "hash")
     shift = (F.col("at") - F.col("item_at")).alias("shift")
@@ -118,23 +119,24 @@ def matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataF
 def _consistent(docs: DataFrame, benchmark: DataFrame, diagonals: DataFrame) -> DataFrame:
     """The diagonals whose slots map one to one between item and document."""
     item = benchmark.select(F.col("item_id").cast("long").alias("item"), _tokens(F.col("text")).alias("item_tokens")).distinct()
-    item = item.select("item", "item_tokens", _template("item_tokens").alias("item_template"))
+    item = computed(item, ["item", "item_tokens"], item_template=_template("item_tokens"))
     wanted = diagonals.select(F.struct("doc_id", "text_hash", "item", "shift").alias("d"), "hits", "item").join(item, "item")
     named = wanted.select(F.col("d.doc_id").alias("id"), F.col("d.text_hash").alias("hash"), "d", "hits", "item_tokens", "item_template")
     found = docs.dropDuplicates(["doc_id", "text_hash"]).join(
         named, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash"))
     )
-    found = found.select("d", "hits", "item_tokens", "item_template", _tokens(F.col("text")).alias("tokens"))
-    found = found.select("d", "hits", "item_tokens", "item_template", "tokens", _template("tokens").alias("template"))
+    found = computed(found, ["d", "hits", "item_tokens", "item_template"], tokens=_tokens(F.col("text")))
+    found = computed(found, ["d", "hits", "item_tokens", "item_template", "tokens"], template=_template("tokens"))
     places = F.filter(
         F.sequence(F.lit(0), F.size("item_template") - 1),
         lambda i: F.get("item_template", i).isin(_NUMBER_SLOT, _NAME_SLOT, _UNIT_SLOT)
         & F.get("item_template", i).eqNullSafe(F.get("template", i + F.col("d.shift"))),
     )
+    found = computed(found, ["d", "hits", "item_tokens", "tokens"], places=places)
     pairs = F.transform(
-        places, lambda i: F.struct(F.get("item_tokens", i).alias("x"), F.get("tokens", i + F.col("d.shift")).alias("y"))
+        "places", lambda i: F.struct(F.get("item_tokens", i).alias("x"), F.get("tokens", i + F.col("d.shift")).alias("y"))
     )
-    found = found.select("d", "hits", F.array_distinct(pairs).alias("pairs"))
+    found = computed(found, ["d", "hits"], pairs=F.array_distinct(pairs))
     one_to_one = (F.size("pairs") == F.size(F.array_distinct("pairs.x"))) & (F.size("pairs") == F.size(F.array_distinct("pairs.y")))
     return found.where(one_to_one).select("d.doc_id", "d.text_hash", "d.item", "d.shift", "hits")
 

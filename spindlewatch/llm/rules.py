@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spindlewatch.llm.columns import computed
 from spindlewatch.shared import written
 
 SPACE = r"\x20\x09-\x0D"
@@ -45,31 +46,30 @@ RULES = (
 def base_counts(docs: DataFrame) -> DataFrame:
     """``docs`` in a struct column ``row``, with ``text`` (null: empty) and the counts n_words, word_chars, n_symbols,
     n_lines, n_dup_lines and n_repeat_words, and ``hashes`` of the words."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    split = docs.select(
-        F.struct("*").alias("row"),
-        text.alias("text"),
-        F.regexp_extract_all(text, F.lit(f"[^{SPACE}]+"), 0).alias("words"),
-        F.filter(F.split(text, "\n", -1), lambda line: line.rlike(f"[^{SPACE}]")).alias("lines"),
+    texts = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    split = computed(
+        texts, ["row", "text"],
+        words=F.regexp_extract_all("text", F.lit(f"[^{SPACE}]+"), 0),
+        lines=F.filter(F.split("text", "\n", -1), lambda line: line.rlike(f"[^{SPACE}]")),
     )
-    hashed = split.select(
-        "row", "text", "lines", F.size("words").cast("long").alias("n_words"),
-        F.transform("words", lambda word: F.xxhash64(word)).alias("hashes"),
+    hashed = computed(
+        split, ["row", "text", "lines"],
+        n_words=F.size("words").cast("long"), hashes=F.transform("words", lambda word: F.xxhash64(word)),
     )
-    windows = hashed.select(
-        "row", "text", "lines", "n_words", "hashes",
-        F.when(
-            F.col("n_words") >= WINDOW,
-            F.transform(F.sequence(F.lit(1), F.size("hashes") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("hashes", i, WINDOW))),
-        ).otherwise(F.array().cast("array<bigint>")).alias("windows"),
+    starts = F.sequence(F.lit(1), F.size("hashes") - (WINDOW - 1))
+    windows = computed(
+        hashed, ["row", "text", "lines", "n_words", "hashes"],
+        windows=F.when(F.col("n_words") >= WINDOW, F.transform(starts, lambda i: F.xxhash64(F.slice("hashes", i, WINDOW)))).otherwise(
+            F.array().cast("array<bigint>")
+        ),
     )
     # Few texts repeat a window, and only theirs are sorted to find which.
-    repeats = windows.select(
-        "row", "text", "lines", "n_words", "hashes",
-        F.when(
+    repeats = computed(
+        windows, ["row", "text", "lines", "n_words", "hashes"],
+        ordered=F.when(
             F.size(F.array_distinct("windows")) < F.size("windows"),
             F.array_sort(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
-        ).alias("ordered"),
+        ),
     )
     again = F.filter(
         F.transform(
@@ -85,13 +85,13 @@ def base_counts(docs: DataFrame) -> DataFrame:
         return F.struct((now["n"] + F.least(F.lit(WINDOW), i - now["last"])).alias("n"), i.alias("last"))
 
     covered = F.aggregate(F.array_sort(again), F.struct(F.lit(0).alias("n"), F.lit(-WINDOW).alias("last")), cover)["n"]
-    return repeats.select(
-        "row", "text", "n_words", "hashes",
-        F.length(F.regexp_replace("text", f"[{SPACE}]+", "")).cast("long").alias("word_chars"),
-        F.regexp_count("text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        F.size("lines").cast("long").alias("n_lines"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.coalesce(F.when(F.col("ordered").isNotNull(), covered), F.lit(0)).cast("long").alias("n_repeat_words"),
+    return computed(
+        repeats, ["row", "text", "n_words", "hashes"],
+        word_chars=F.length(F.regexp_replace("text", f"[{SPACE}]+", "")).cast("long"),
+        n_symbols=F.regexp_count("text", F.lit("[#*$%&|<>]")).cast("long"),
+        n_lines=F.size("lines").cast("long"),
+        n_dup_lines=(F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
+        n_repeat_words=F.coalesce(F.when(F.col("ordered").isNotNull(), covered), F.lit(0)).cast("long"),
     )
 
 
@@ -126,11 +126,11 @@ def judged(spark: SparkSession, docs: DataFrame, rules: Sequence[Rule] = RULES)
     cascade = F.when(F.expr(_BASE_FAILED), None)
     for rule in ordered_rules(spark, docs, rules):
         cascade = cascade.when(~F.expr(rule.passes), rule.name)
-    counted = base_counts(docs)
-    return counted.select(
-        "row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        F.expr(_BASE_FAILED).alias("base_failed"), cascade.cast("string").alias("failed_rule"),
-    ).withColumn("kept", ~F.col("base_failed") & F.col("failed_rule").isNull())
+    verdicts = computed(
+        base_counts(docs), ["row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"],
+        base_failed=F.expr(_BASE_FAILED), failed_rule=cascade.cast("string"),
+    )
+    return verdicts.withColumn("kept", ~F.col("base_failed") & F.col("failed_rule").isNull())
 
 
 ORACLE = r"""
