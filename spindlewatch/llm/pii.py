@@ -126,14 +126,13 @@ class Pseudonyms:
         return ".".join(map(str, self._move("ip", [int(p) for p in parts], [256] * 4, step)))
 
     def phone(self, text: str, step: int = 1) -> str | None:
-        """The last ten digits move, the country code stays; area and exchange begin with 2 to 9 as they must."""
+        """The last ten digits move, the country code stays. The way it is written makes a phone number; any area code
+        counts, as people also write ones that no exchange has."""
         digits = re.sub(r"\D", "", text)
         code, own = digits[:-10], digits[-10:]
-        if len(own) < 10 or own[0] in "01" or own[3] in "01":
+        if len(own) < 10:
             return None
-        low = [2, 0, 0, 2, 0, 0, 0, 0, 0, 0]
-        moved = self._move("phone", [int(d) - x for d, x in zip(own, low, strict=True)], [10 - x for x in low], step)
-        return _refill(text, code + "".join(str(v + x) for v, x in zip(moved, low, strict=True)))
+        return _refill(text, code + "".join(map(str, self._move("phone", [int(d) for d in own], [10] * 10, step))))
 
     def ssn(self, text: str, step: int = 1) -> str | None:
         area, group, serial = map(int, text.split("-"))
