@@ -25,7 +25,7 @@ from spindlewatch.streaming.ingest import ingest
 
 try:
     from spindlewatch.llm import queries as corpus
-except ModuleNotFoundError as absent:
+except ImportError as absent:
     if absent.name not in ("spindlewatch.llm", "corpus_pipeline"):
         raise
     corpus = None
