@@ -315,6 +315,8 @@ def keep_one(spark: SparkSession, docs: DataFrame, shingle: int = 3, most: int =
     rows = near_duplicates(spark, docs, shingle, most)
     one = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("one")
     first = rows.groupBy("root").agg(one).select("one.doc_id", "one.text_hash")
-    own = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
-    kept = own.join(first, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash")))
-    return kept.groupBy("id", "hash").agg(F.first("row").alias("row")).select("row.*")
+    # A null id has a key too, so that the join and the grouping are dealt by the same columns: the texts move once.
+    key = [F.coalesce("doc_id", F.lit(0)).cast("long").alias("id"), F.col("doc_id").isNull().alias("none")]
+    own = docs.select(F.struct("*").alias("row"), *key, F.xxhash64("text").alias("hash"))
+    kept = own.join(first.select(*key, F.col("text_hash").alias("hash")), ["id", "none", "hash"])
+    return kept.groupBy("id", "none", "hash").agg(F.first("row").alias("row")).select("row.*")
