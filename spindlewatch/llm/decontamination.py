@@ -22,6 +22,8 @@ LEAST_WINDOWS = 6
 MOST_SLOTS = 3
 # The benchmark's windows are sent to all tasks up to this number of rows; beyond it both sides are shuffled.
 BROADCAST_ROWS = 2_000_000
+# So many diagonals or leaking documents likewise; beyond, the texts are shuffled to them.
+BROADCAST_LEAKS = 100_000
 
 # Units of measure, as written after a number.
 UNITS = (
@@ -92,14 +94,15 @@ def _items(benchmark: DataFrame) -> DataFrame:
     return rows.select("item", "at", "hash", "slots").join(sizes, "item")
 
 
+def _sent(df: DataFrame, rows: int, most: int) -> DataFrame:
+    return F.broadcast(df) if rows <= most else df
+
+
 def matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, text_hash, item, shift, hits) of the diagonals that make a leak, for the rows of ``docs`` with that id
     and xxhash64 of the text. Rows equal in both are one."""
     items = written(spark, _items(benchmark), "items")
-    if items.count() <= BROADCAST_ROWS:
-        known = F.broadcast(items)
-    else:
-        known = items
+    known = _sent(items, items.count(), BROADCAST_ROWS)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     made = computed(own, ["doc_id", "text_hash"], tokens=_tokens(F.col("text")))
     made = computed(made, ["doc_id", "text_hash"], template=_template("tokens"))
@@ -122,8 +125,9 @@ def _consistent(docs: DataFrame, benchmark: DataFrame, diagonals: DataFrame) ->
     item = computed(item, ["item", "item_tokens"], item_template=_template("item_tokens"))
     wanted = diagonals.select(F.struct("doc_id", "text_hash", "item", "shift").alias("d"), "hits", "item").join(item, "item")
     named = wanted.select(F.col("d.doc_id").alias("id"), F.col("d.text_hash").alias("hash"), "d", "hits", "item_tokens", "item_template")
-    found = docs.dropDuplicates(["doc_id", "text_hash"]).join(
-        named, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash"))
+    found = docs.join(
+        _sent(named, diagonals.count(), BROADCAST_LEAKS),
+        F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")),
     )
     found = computed(found, ["d", "hits", "item_tokens", "item_template"], tokens=_tokens(F.col("text")))
     found = computed(found, ["d", "hits", "item_tokens", "item_template", "tokens"], template=_template("tokens"))
@@ -138,7 +142,7 @@ def _consistent(docs: DataFrame, benchmark: DataFrame, diagonals: DataFrame) ->
     )
     found = computed(found, ["d", "hits"], pairs=F.array_distinct(pairs))
     one_to_one = (F.size("pairs") == F.size(F.array_distinct("pairs.x"))) & (F.size("pairs") == F.size(F.array_distinct("pairs.y")))
-    return found.where(one_to_one).select("d.doc_id", "d.text_hash", "d.item", "d.shift", "hits")
+    return found.where(one_to_one).select("d.doc_id", "d.text_hash", "d.item", "d.shift", "hits").distinct()
 
 
 def judged(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -162,5 +166,6 @@ def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFra
     """The rows of ``docs`` that hold no benchmark item, with all their columns."""
     leaks = written(spark, matches(spark, docs, benchmark).select("doc_id", "text_hash").distinct(), "leaks")
     own = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"))
+    leaks = _sent(leaks, leaks.count(), BROADCAST_LEAKS)
     kept = own.join(leaks, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash")), "left_anti")
     return kept.select("row.*")

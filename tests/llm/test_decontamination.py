@@ -50,6 +50,7 @@ def test_beyond_the_broadcast_bound_nothing_changes(spark, documents, monkeypatc
     rows = [(i, f"{PROSE} {ITEM if i % 3 else STORY} {i}") for i in range(40)] + [(99, PROSE)]
     expected = found(spark, documents, rows)
     monkeypatch.setattr(d, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(d, "BROADCAST_LEAKS", 0)
     assert found(spark, documents, rows) == expected
 
 
