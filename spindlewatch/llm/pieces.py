@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-KEPT = 1 << 19
+KEPT = 1 << 20
 # The library's results are large objects, so it gets this many pieces at a time.
 _LOT = 1 << 14
 
@@ -46,7 +46,10 @@ class Dictionary:
         coded = pieces.dictionary_encode()
         if len(self.known) > self.most:
             self._forget()
-        new = coded.dictionary.filter(pc.is_null(pc.index_in(coded.dictionary, value_set=self.known)))
+        place = pc.fill_null(pc.index_in(coded.dictionary, value_set=self.known), -1).to_numpy(zero_copy_only=False).copy()
+        unknown = place < 0
+        new = coded.dictionary.filter(pa.array(unknown))
+        place[unknown] = len(self.known) + np.arange(len(new))
         if len(new):
             counts, flat = [], []
             for at in range(0, len(new), _LOT):
@@ -56,6 +59,6 @@ class Dictionary:
             self.known = pa.concat_arrays([self.known, new])
             self.ids = np.concatenate([self.ids, *flat])
             self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate(counts))])
-        place = pc.index_in(coded.dictionary, value_set=self.known).to_numpy()[coded.indices.to_numpy()]
+        place = place[coded.indices.to_numpy()]
         counts = self.ends[place + 1] - self.ends[place]
         return self.ids[spread(self.ends[place], counts)], counts

@@ -25,7 +25,7 @@ from spindlewatch.shared import scratch_path, written
 
 MAGIC = b"SPIDS8B1"
 FILE_IDS = 1 << 25
-_SLICE = 2 << 20
+_SLICE = 4 << 20
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
@@ -230,6 +230,7 @@ def read_tokens(files: DataFrame) -> DataFrame:
     ids are unsigned 32-bit little-endian integers, as are those of the checksum; n_tokens has the end id in it.
     """
     named = files.select("file", "bytes", "start")
-    return named.repartition("file").mapInArrow(
+    # A task for each file: by their rows alone they would all be merged into one.
+    return named.repartition(max(1, files.count()), "file").mapInArrow(
         _reader, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary"
     )
