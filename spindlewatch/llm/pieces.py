@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-KEPT = 1 << 20
+KEPT = 1 << 19
 # The library's results are large objects, so it gets this many pieces at a time.
 _LOT = 1 << 14
 

@@ -25,7 +25,7 @@ from spindlewatch.shared import scratch_path, written
 
 MAGIC = b"SPIDS8B1"
 FILE_IDS = 1 << 25
-_SLICE = 4 << 20
+_SLICE = 2 << 20
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
