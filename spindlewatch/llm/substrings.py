@@ -5,7 +5,8 @@ hash of a few words inside the window, chosen by content alone) form a path. Equ
 
 1. Anchors are counted over the corpus. A path whose anchor occurs once holds no repeated edge and goes.
 2. An anchor that has only one path in the whole corpus does not branch: the path is compacted to one key. Where paths
-   branch (passage ends, edits, periodic texts) their edges are kept one by one.
+   branch (passage ends, edits, periodic texts) their edges are kept one by one. A path that may hold an edge twice, as
+   in periodic texts, branches by itself, even if it is the only one of its anchor.
 3. For each key the first source coordinates (doc_id, word) are found, and come back to the documents, where the
    words are covered anew from the text itself.
 
@@ -64,7 +65,8 @@ class Paths:
         self.row = self.window_row[heads]
         self.at = at
         self.anchor = mix(least[heads], 2).view(np.int64)
-        self.branches = np.logical_or.reduceat(periodic, heads) if len(heads) else np.zeros(0, bool)
+        # An edge comes twice in a path only if an anchor does: within one window, or in windows further apart than a span.
+        self.branches = (np.logical_or.reduceat(periodic, heads) if len(heads) else np.zeros(0, bool)) | (self.count > span)
         self.window = window
 
     def keys(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -96,8 +98,9 @@ class Paths:
 
 
 def _anchors(window: int):
-    """Batches of (text, chunk) to rows (key, chunk, path, n, branches, more): one for each anchor and batch. The chunks
-    of an anchor that a batch holds more than once are in ``more``, as 32-bit numbers."""
+    """Batches of (text, chunk) to rows (key, chunk, path, n, branches, more): one for each anchor and batch. n is 2 for
+    an anchor that a batch holds more than once, or in a path that branches by itself. The chunks of an anchor that a
+    batch holds more than once are in ``more``, as 32-bit numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,15 +120,16 @@ def _anchors(window: int):
             more = [None] * len(head)
             if len(head):
                 differ = np.logical_or.reduceat(np.concatenate([[False], path[1:] != path[:-1]]) & ~_first(len(key), head), head)
-                differ |= np.logical_or.reduceat(branches, head)
+                alone = np.logical_or.reduceat(branches, head)
+                differ |= alone
                 for g in np.flatnonzero(count > 1):
                     more[g] = np.unique(chunk[head[g] : head[g] + count[g]]).tobytes()
             else:
-                differ = np.zeros(0, bool)
+                differ = alone = np.zeros(0, bool)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(key[head]), pa.array(chunk[head]), pa.array(path[head]),
-                    pa.array(np.minimum(count, 2).astype(np.int8)), pa.array(differ), pa.array(more, pa.binary()),
+                    pa.array(np.minimum(count + alone, 2).astype(np.int8)), pa.array(differ), pa.array(more, pa.binary()),
                 ],
                 ["key", "chunk", "path", "n", "branches", "more"],
             )

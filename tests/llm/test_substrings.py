@@ -1,6 +1,8 @@
 import random
 import re
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from spindlewatch.llm import substrings
@@ -79,6 +81,31 @@ def test_periodic_texts(spark, documents):
     assert found(spark, documents(rows)) == brute(rows)
 
 
+def test_a_periodic_text_alone():
+    """Every period and length by itself, by the functions of the chunks, without the rows of other texts."""
+
+    def alone(words):
+        docs = pa.table({"doc_id": pa.array([1]), "text": pa.array([" ".join(words)]), "chunk": pa.array([0], pa.int32())})
+        anchors = pa.Table.from_batches(substrings._anchors(20)(iter(docs.select(["text", "chunk"]).to_batches())))
+        flags = anchors.filter(pc.greater(anchors["n"], 1))
+        places = substrings._coordinates(20)(docs, flags) if len(flags) else substrings._COORDINATES.empty_table()
+        return substrings._cover(20)(docs, places.filter(pc.greater(places["n"], 1))).column("n_removed")[0].as_py()
+
+    for period in range(1, 17):
+        for length in range(20, 62):
+            words = [f"q{i % period}" for i in range(length)]
+            assert alone(words) == brute([(1, " ".join(words))])[0][2], (period, length)
+
+
+@pytest.mark.parametrize("period, times, removed", [(7, 6, 35), (15, 3, 30), (1, 30, 29), (10, 4, 30)])
+def test_one_row_of_a_repeated_line(spark, documents, period, times, removed):
+    rows = [(1, "\n".join([" ".join(f"q{i}" for i in range(period))] * times))]
+    got = found(spark, documents(rows))
+    assert got == brute(rows) and got[0][2] == removed
+    twice = [*rows, (2, rows[0][1])]
+    assert found(spark, documents(twice)) == brute(twice)
+
+
 def test_nulls_repeated_ids_and_short_texts(spark, documents):
     text = " ".join(f"n{i}" for i in range(40))
     rows = [
