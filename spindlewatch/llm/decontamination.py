@@ -5,6 +5,9 @@ lower-cased words. Windows of the resulting template are hash-joined with those
 along one diagonal, the same shift between document and item, belong together. A diagonal counts if it covers enough of
 the item and if its slots are consistent: what stands in a placeholder maps one to one between item and document, so that
 a question with other numbers or names is still caught, and prose that only shares the shape is not.
+
+Windows dense in placeholders say little each, so they count on longer diagonals only, which must also share enough
+words or be the same text.
 """
 
 from __future__ import annotations
@@ -18,8 +21,13 @@ from spindlewatch.shared import written
 WINDOW = 8
 # Windows on a diagonal that make a leak: 13 tokens in a row, or all windows of a shorter item.
 LEAST_WINDOWS = 6
-# A window with more placeholders than this says too little.
+# A shorter item is in no document.
+LEAST_TOKENS = 5
+# A window with more placeholders than this is dense. Diagonals that need dense windows must have so many windows, 19
+# tokens in a row, or all windows of a shorter item, and so many words in common if they are not the same text.
 MOST_SLOTS = 3
+LEAST_DENSE_WINDOWS = 12
+LEAST_LITERALS = 5
 # The benchmark's windows are sent to all tasks up to this number of rows; beyond it both sides are shuffled.
 BROADCAST_ROWS = 2_000_000
 # So many diagonals or leaking documents likewise; beyond, the texts are shuffled to them.
@@ -67,31 +75,41 @@ def _template(tokens: str) -> Column:
     return F.transform(column, lambda t, i: F.coalesce(_slot(column, t, i).cast("long"), F.xxhash64(t)))
 
 
-def _windows(template: str) -> Column:
-    """(at, hash) of the windows of a template, from 0; a template that is shorter is one window."""
+def _is_slot(token: Column) -> Column:
+    return token.isin(_NUMBER_SLOT, _NAME_SLOT, _UNIT_SLOT)
+
+
+def _windows(template: str, tokens: str) -> Column:
+    """(at, hash) of the windows of a template, from 0; a template that is shorter is one window. Windows of placeholders
+    alone are hashed by what stands in them, as any table of numbers has their shape."""
     count = F.greatest(F.size(template) - WINDOW, F.lit(0))
-    column = F.col(template)
-    made = F.transform(
-        F.sequence(F.lit(0), count), lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(column, i + 1, WINDOW)).alias("hash"))
-    )
-    return F.when(F.size(template) > 0, made)
+    column, words = F.col(template), F.col(tokens)
+
+    def made(i: Column) -> Column:
+        own = F.slice(column, i + 1, WINDOW)
+        bare = _is_slot(F.get(column, i)) & F.forall(own, _is_slot)
+        return F.struct(i.alias("at"), F.when(bare, F.xxhash64(F.slice(words, i + 1, WINDOW))).otherwise(F.xxhash64(own)).alias("hash"))
+
+    return F.when(F.size(template) > 0, F.transform(F.sequence(F.lit(0), count), made))
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
-    """(item, at, hash, slots, windows): the windows of the benchmark's items that say enough.
+    """(item, at, hash, slots, dense, windows, sparse_windows): the windows of the benchmark's items.
 
-    slots are the places of the window's placeholders, windows the number of such windows of the item."""
+    slots are the number of the window's placeholders, windows and sparse_windows the numbers of all and of the not dense
+    windows of the item."""
     tokens = benchmark.select(F.col("item_id").cast("long").alias("item"), _tokens(F.col("text")).alias("tokens"))
     tokens = tokens.where(F.col("item").isNotNull()).distinct()
-    made = computed(tokens, ["item"], template=_template("tokens"))
-    rows = made.select("item", "template", F.explode(_windows("template")).alias("w"))
+    made = computed(tokens, ["item", "tokens"], template=_template("tokens"))
+    rows = made.select("item", "template", F.explode(_windows("template", "tokens")).alias("w"))
     own = F.slice("template", F.col("w.at") + 1, WINDOW)
-    slots = F.size(F.filter(own, lambda t: t.isin(_NUMBER_SLOT, _NAME_SLOT, _UNIT_SLOT)))
+    slots = F.size(F.filter(own, _is_slot))
     rows = rows.select("item", "w.at", "w.hash", slots.alias("slots"), F.size(own).alias("width"))
-    # A whole item of less than a window counts only without placeholders.
-    rows = rows.where(((F.col("width") == WINDOW) & (F.col("slots") <= MOST_SLOTS)) | ((F.col("width") >= 5) & (F.col("slots") == 0)))
-    sizes = rows.groupBy("item").agg(F.count("*").alias("windows"))
-    return rows.select("item", "at", "hash", "slots").join(sizes, "item")
+    # A whole item of less than a window is dense with any placeholder.
+    dense = F.col("slots") > F.when(F.col("width") == WINDOW, MOST_SLOTS).otherwise(0)
+    rows = rows.where(f"width >= {LEAST_TOKENS}").select("item", "at", "hash", "slots", dense.alias("dense"))
+    sizes = rows.groupBy("item").agg(F.count("*").alias("windows"), F.count_if(~F.col("dense")).alias("sparse_windows"))
+    return rows.join(sizes, "item")
 
 
 def _sent(df: DataFrame, rows: int, most: int) -> DataFrame:
@@ -105,25 +123,35 @@ def matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataF
     known = _sent(items, items.count(), BROADCAST_ROWS)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     made = computed(own, ["doc_id", "text_hash"], tokens=_tokens(F.col("text")))
-    made = computed(made, ["doc_id", "text_hash"], template=_template("tokens"))
-    rows = made.select("doc_id", "text_hash", F.explode(_windows("template")).alias("w")).select("doc_id", "text_hash", "w.at", "w.hash")
-    hits = rows.join(known.select("item", F.col("at").alias("item_at"), "hash", "slots", "windows"), "hash")
-    shift = (F.col("at") - F.col("item_at")).alias("shift")
-    diagonals = hits.groupBy("doc_id", "text_hash", "item", shift).agg(
-        F.count_distinct("item_at").alias("hits"), F.max("slots").alias("slots"), F.max("windows").alias("windows")
+    made = computed(made, ["doc_id", "text_hash", "tokens"], template=_template("tokens"))
+    rows = made.select("doc_id", "text_hash", F.explode(_windows("template", "tokens")).alias("w")).select("doc_id", "text_hash", "w.at", "w.hash")
+    hits = rows.join(known.withColumnRenamed("at", "item_at"), "hash")
+    # Rows that are equal hit alike.
+    hits = hits.groupBy("doc_id", "text_hash", "item", (F.col("at") - F.col("item_at")).alias("shift"), "item_at").agg(
+        *[F.max(c).alias(c) for c in ("slots", "dense", "windows", "sparse_windows")]
+    )
+    diagonals = hits.groupBy("doc_id", "text_hash", "item", "shift").agg(
+        F.count("*").alias("hits"), F.count_if(~F.col("dense")).alias("sparse_hits"),
+        F.max(F.when(~F.col("dense"), F.col("slots"))).alias("slots"),
+        F.max("windows").alias("windows"), F.max("sparse_windows").alias("sparse_windows"),
+        F.min("item_at").alias("low"), F.max("item_at").alias("high"),
+    )
+    sure = (F.col("sparse_hits") > 0) & (F.col("sparse_hits") >= F.least(F.lit(LEAST_WINDOWS), F.col("sparse_windows")))
+    diagonals = diagonals.withColumn("sure", sure).where(F.col("sure") | (F.col("hits") >= F.least(F.lit(LEAST_DENSE_WINDOWS), F.col("windows"))))
+    diagonals = written(
+        spark, diagonals.select("doc_id", "text_hash", "item", "shift", "hits", "slots", "sure", "low", "high"), "diagonals"
     )
-    enough = F.col("hits") >= F.least(F.lit(LEAST_WINDOWS), F.col("windows"))
-    diagonals = written(spark, diagonals.where(enough).select("doc_id", "text_hash", "item", "shift", "hits", "slots"), "diagonals")
-    plain = diagonals.where("slots = 0").drop("slots")
-    filled = _consistent(own, benchmark, diagonals.where("slots > 0").drop("slots"))
+    plain = diagonals.where("sure AND slots = 0").select("doc_id", "text_hash", "item", "shift", "hits")
+    filled = _consistent(own, benchmark, diagonals.where("NOT (sure AND slots = 0)").drop("slots"))
     return plain.unionByName(filled)
 
 
 def _consistent(docs: DataFrame, benchmark: DataFrame, diagonals: DataFrame) -> DataFrame:
-    """The diagonals whose slots map one to one between item and document."""
+    """The diagonals whose slots map one to one between item and document; those that are not ``sure`` must also have
+    enough words in common, or be the same text."""
     item = benchmark.select(F.col("item_id").cast("long").alias("item"), _tokens(F.col("text")).alias("item_tokens")).distinct()
     item = computed(item, ["item", "item_tokens"], item_template=_template("item_tokens"))
-    wanted = diagonals.select(F.struct("doc_id", "text_hash", "item", "shift").alias("d"), "hits", "item").join(item, "item")
+    wanted = diagonals.select(F.struct("doc_id", "text_hash", "item", "shift", "sure", "low", "high").alias("d"), "hits", "item").join(item, "item")
     named = wanted.select(F.col("d.doc_id").alias("id"), F.col("d.text_hash").alias("hash"), "d", "hits", "item_tokens", "item_template")
     found = docs.join(
         _sent(named, diagonals.count(), BROADCAST_LEAKS),
@@ -133,10 +161,19 @@ def _consistent(docs: DataFrame, benchmark: DataFrame, diagonals: DataFrame) ->
     found = computed(found, ["d", "hits", "item_tokens", "item_template", "tokens"], template=_template("tokens"))
     places = F.filter(
         F.sequence(F.lit(0), F.size("item_template") - 1),
-        lambda i: F.get("item_template", i).isin(_NUMBER_SLOT, _NAME_SLOT, _UNIT_SLOT)
+        lambda i: _is_slot(F.get("item_template", i))
         & F.get("item_template", i).eqNullSafe(F.get("template", i + F.col("d.shift"))),
     )
-    found = computed(found, ["d", "hits", "item_tokens", "tokens"], places=places)
+    size = F.col("d.high") - F.col("d.low") + WINDOW
+
+    def run(column: str) -> Column:
+        shift = F.lit(0) if column.startswith("item") else F.col("d.shift")
+        return F.slice(column, (F.col("d.low") + shift + 1).cast("int"), size.cast("int"))
+
+    shared = F.zip_with(run("item_template"), run("template"), lambda a, b: a.eqNullSafe(b) & ~_is_slot(a))
+    literals = F.size(F.filter(shared, lambda same: same))
+    enough = F.col("d.sure") | (literals >= LEAST_LITERALS) | (run("item_tokens") == run("tokens"))
+    found = computed(found, ["d", "hits", "item_tokens", "tokens"], places=places, enough=enough).where("enough")
     pairs = F.transform(
         "places", lambda i: F.struct(F.get("item_tokens", i).alias("x"), F.get("tokens", i + F.col("d.shift")).alias("y"))
     )
