@@ -191,7 +191,8 @@ def judged(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFr
     """
     found = matches(spark, docs, benchmark)
     items = found.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    leaks = items.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "items")
+    items = written(spark, items, "leaks")
+    leaks = _sent(items, items.count(), BROADCAST_LEAKS).select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "items")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"))
     all_rows = rows.join(leaks, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")), "left")
     return all_rows.select(

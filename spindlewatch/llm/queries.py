@@ -38,9 +38,9 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents that hold benchmark items, of all documents, and the numbers of those items."""
+    """For every document whether it holds benchmark items, and the numbers of those items."""
     found = decontamination.judged(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
-    return found.where("contaminated").select("doc_id", "contaminated", F.array_join("items", ",").alias("items"))
+    return found.select("doc_id", "contaminated", F.array_join("items", ",").alias("items"))
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

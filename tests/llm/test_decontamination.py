@@ -4,6 +4,7 @@ import re
 import pytest
 
 from spindlewatch.llm import decontamination as d
+from spindlewatch.llm.queries import op4_decontamination
 
 ITEM = "A train leaves the station at 60 km per hour while another train follows it 2 hours later at 90 km per hour. When do they meet?"
 STORY = "Last week we told Alice that the small red box of Alice holds 12 apples and 5 pears, so we asked her how many are left over now."
@@ -133,6 +134,14 @@ def test_random_templates_equal_the_definition(spark, documents, seed):
     assert found(spark, documents, rows, items) == brute(rows, items)
 
 
+def test_the_query_lists_every_document(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    rows = op4_decontamination(spark, sf_dir).collect()
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").collect()
+    assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in docs)
+    assert all(r.contaminated == (r["items"] != "") for r in rows) and {r.contaminated for r in rows} == {True, False}
+
+
 def test_no_python_runs(spark, documents):
     benchmark = spark.createDataFrame(BENCHMARK, "item_id long, text string")
     plan = d.clean(spark, documents([(1, ITEM)]), benchmark)._jdf.queryExecution().executedPlan().toString()
