@@ -186,6 +186,7 @@ def judged(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFr
     """(doc_id, contaminated, items) of every row of ``docs``; items are the ids of the benchmark items in it, in order.
 
     Null and empty texts hold no item, and null or empty items are in no document; an item without an id is left out.
+    An item of 5 to 7 tokens is found only in a document that consists of nothing else, a shorter one in none.
     Equal rows are judged alike; an empty table gives no rows, an empty benchmark no contamination. Other columns of
     either table are ignored.
     """
