@@ -154,10 +154,14 @@ class Pseudonyms:
         return _refill(text, f"{plain[:2]}{98 - rest(body + plain[:2] + '00'):02d}{body}")
 
     def day(self, text: str, step: int = 1) -> str | None:
-        """A date of the 20th or 21st century, as year-month-day, day.month.year or month/day/year."""
+        """A date of the 20th or 21st century, as year-month-day, day.month.year, month/day/year or, if it is none
+        of these, day/month/year. The latter stay dates that can only be read so."""
         numbers = [int(x) for x in re.findall(r"\d+", text)]
         mark = re.search(r"\D", text)[0]
         order = {"-": (0, 1, 2), ".": (2, 1, 0), "/": (2, 0, 1)}[mark]
+        day_first = mark == "/" and numbers[0] > 12
+        if day_first:
+            order = (2, 1, 0)
         try:
             found = date(*(numbers[i] for i in order))
         except ValueError:
@@ -165,13 +169,14 @@ class Pseudonyms:
         if not _FIRST_DAY <= found <= _LAST_DAY:
             return None
         days = (_LAST_DAY - _FIRST_DAY).days + 1
-        # Two digits of mixed radix, so that the network has two sides; places beyond the last day are walked over.
+        # Two digits of mixed radix, so that the network has two sides; places of no such day are walked over.
         place = [(found - _FIRST_DAY).days // 271, (found - _FIRST_DAY).days % 271]
         while True:
             place = self._move("day", place, [270, 271], step)
-            if place[0] * 271 + place[1] < days:
+            number = place[0] * 271 + place[1]
+            if number < days and (not day_first or (_FIRST_DAY + timedelta(number)).day > 12):
                 break
-        new = _FIRST_DAY + timedelta(place[0] * 271 + place[1])
+        new = _FIRST_DAY + timedelta(number)
         parts = {0: f"{new.year:04d}", 1: f"{new.month:02d}", 2: f"{new.day:02d}"}
         return mark.join(parts[{v: k for k, v in enumerate(order)}[i]] for i in range(3))
 
@@ -189,7 +194,7 @@ class Pseudonyms:
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "access_key": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "secret": r"(?:(?<=password=)|(?<=passwd=)|(?<=token=)|(?<=secret=)|(?<=api_key=)|(?<=token = \")|(?<=secret = \")|(?<=password = \")|(?<=api_key = \")|(?<=password: )|(?<=token: ))[A-Za-z0-9_+/-]{8,}",
+    "secret": r"(?i:(?<=password=)|(?<=passwd=)|(?<=token=)|(?<=secret=)|(?<=api_key=)|(?<=token = \")|(?<=secret = \")|(?<=password = \")|(?<=api_key = \")|(?<=password: )|(?<=token: ))[A-Za-z0-9_+/-]{8,}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
     "ip": r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d)",
     "day": r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?!\d|[./-]\d)",
@@ -201,7 +206,7 @@ KINDS = tuple(PATTERNS)
 _ANY = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern in PATTERNS.items()))
 _EACH = {kind: re.compile(pattern) for kind, pattern in PATTERNS.items()}
 # What a text must have for any of the patterns to match.
-_HINT = r"[0-9@]|(?:password|passwd|token|secret|api_key)(?:=|: | = \")"
+_HINT = r"[0-9@]|(?i:password|passwd|token|secret|api_key)(?:=|: | = \")"
 
 
 def replaced(text: str, names: Pseudonyms, find: Callable | None = None) -> tuple[str, list[tuple[str, int, int]]]:

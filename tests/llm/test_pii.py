@@ -67,6 +67,23 @@ def test_all_days_stay_days(names):
     assert len(seen) == len(range(0, 73049, 61))
 
 
+def test_secrets_behind_names_in_any_case_and_days_before_months(names):
+    for lead in ("TOKEN = \"", "Password: ", "API_KEY=", "token=", "Secret = \""):
+        for value in ("9233A8EC71", "HunterHunter"):
+            new, spans = pii.replaced(f"{lead}{value}\"", names)
+            assert [k for k, _, _ in spans] == ["secret"] and value not in new and re.search(pii._HINT, lead)
+    seen = set()
+    for n in range(0, 73049, 61):
+        day = date.fromordinal(date(1900, 1, 1).toordinal() + n)
+        if day.day > 12:
+            text = day.strftime("%d/%m/%Y")
+            new = names.day(text)
+            assert int(new[:2]) > 12 and new != text and names.day(new, -1) == text
+            date(int(new[6:]), int(new[3:5]), int(new[:2]))
+            seen.add(new)
+    assert len(seen) > 600 and names.day("31/02/2020") is None
+
+
 def test_ssns_cover_their_range(names):
     areas = {names.ssn(f"{a:03d}-12-3456")[:3] for a in range(1, 900) if a != 666}
     assert "666" not in areas and "000" not in areas
