@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from spindlewatch.llm import decontamination, pii, quality, rules, sentences, sharding, simhash, substrings, token_files, warc
+from spindlewatch.llm import conversations, decontamination, pii, quality, rules, sentences, sharding, simhash, substrings, token_files, warc
 from spindlewatch.llm.parameters import PSEUDONYM_KEY, tokenizer
 
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -76,6 +76,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged, with its faults, its cheapest repair and a digest of the repaired turns."""
+    rows = conversations.damaged(_table(spark, sf_dir, "conversations"))
+    return conversations.summaries(conversations.repaired(spark, rows))
+
+
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -87,6 +93,7 @@ QUERIES: dict[str, Query] = {
     "op8_pii": op8_pii,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_simhash": op10_simhash,
+    "op11_conversation_repair": op11_conversation_repair,
     "pipeline": corpus_pipeline.run,
 }
 

@@ -1,0 +1,201 @@
+import hashlib
+import itertools
+import random
+import re
+import zlib
+
+import pytest
+
+from spindlewatch.llm import conversations, queries
+
+SCHEMA = "conv_id long, turn long, role string, text string"
+SF = "/root/testdata/sf0.01"
+SPACE = " \t\n\x0b\x0c\r"
+COLUMNS = ("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
+def damage(rows):
+    """The stated damage, row by row."""
+    out = []
+    for conv_id, turn, role, text in rows:
+        harm = zlib.crc32(f"{' ' if conv_id is None else conv_id}:{' ' if turn is None else turn}".encode()) % 20
+        role, text = " " if role is None else role, " " if text is None else text
+        if harm == 1:
+            text = ""
+        if harm == 2:
+            text = re.sub("[.!?]", "", text)
+        if harm == 4:
+            role = "user"
+        out += [(conv_id, turn, role, text)] * (0 if harm == 0 else 2 if harm == 3 else 1)
+    return out
+
+
+def marks(turns):
+    """For each turn "gone", "cut" or "", by its first fault."""
+    out, seen = [], set()
+    for role, text in turns:
+        body = text.strip(SPACE)
+        out.append("blank" if not body else "duplicate" if (role, text) in seen else "truncated" if body[-1] not in ".!?" else "")
+        seen.add((role, text))
+    return out
+
+
+def cheapest(turns, marked):
+    """(cost, audit, repaired) by keeping the best whole audit for each state, one turn after another."""
+    after = {"": "su", "s": "u", "u": "a", "a": "u"}
+    name = {"u": "user", "a": "assistant"}
+    best = {"": (0, "", ())}
+
+    def inserted(best):
+        best = dict(best)
+        for _ in range(3):
+            for state, (cost, audit, made) in list(best.items()):
+                for initial in after[state]:
+                    if initial != "s":
+                        offer = (cost + 2, audit + "I", made + ((name[initial], ""),))
+                        best[initial] = min(best.get(initial, offer), offer)
+        return best
+
+    for (role, text), mark in zip(turns, marked, strict=True):
+        offers = []
+        for state, (cost, audit, made) in inserted(best).items():
+            offers.append((state, (cost + 3, audit + "D", made)))
+            if mark not in ("blank", "duplicate"):
+                cut = mark == "truncated"
+                if role[:1] and role[:1] in after[state]:
+                    offers.append((role[:1], (cost + cut, audit + "K", made + ((role, text),))))
+                for initial in after[state].replace("s", ""):
+                    offers.append((initial, (cost + 2 + cut, audit + "R", made + ((name[initial], text),))))
+        best = {}
+        for state, offer in offers:
+            best[state] = min(best.get(state, offer), offer)
+    return min(offer for state, offer in inserted(best).items() if state in ("", "a"))
+
+
+def expected(rows):
+    groups = {}
+    for row in rows:
+        groups.setdefault(row[0], [])
+    for row in damage(rows):
+        groups[row[0]].append(row[1:])
+    out = set()
+    for conv_id, turns in groups.items():
+        turns.sort(key=lambda t: (t[0] is not None, t[0] or 0))
+        known = {t for t, _, _ in turns if t is not None}
+        gaps = max(known) - min(known) + 1 - len(known) if known else 0
+        pairs = [t[1:] for t in turns]
+        marked = marks(pairs)
+        cost, audit, made = cheapest(pairs, marked)
+        wrong = sum(a[0][:1] + b[0][:1] not in ("su", "ua", "au") for a, b in itertools.pairwise(pairs))
+        digest = hashlib.sha256("\n".join(f"{r}:{t}" for r, t in made).encode()).hexdigest()
+        out.add((conv_id, gaps, *(marked.count(m) for m in ("blank", "duplicate", "truncated")), wrong, cost, audit, digest))
+    return out
+
+
+def found(spark, df, **options):
+    out = conversations.summaries(conversations.repaired(spark, conversations.damaged(df), **options))
+    assert tuple(out.columns) == COLUMNS
+    rows = [tuple(r) for r in out.collect()]
+    assert len(rows) == len(set(rows))
+    return set(rows)
+
+
+def random_turns(rng, n):
+    roles = rng.choices(["user", "assistant", "system", " ", "", "tool", "User"], [8, 8, 2, 1, 1, 1, 1], k=n)
+    texts = rng.choices(["Yes.", "No", "Why?", " ", "", "So it is. \t", "a\nb!", "é"], [6, 2, 3, 1, 1, 2, 2, 1], k=n)
+    return list(zip(roles, texts, strict=True))
+
+
+def test_divide_and_conquer_finds_the_cheapest_and_least_audit():
+    rng = random.Random(3)
+    for n in [*range(0, 7)] * 60 + [40, 200]:
+        turns = random_turns(rng, n)
+        marked = marks(turns)
+        cost, audit, made = cheapest(turns, marked)
+        gone = [m in ("blank", "duplicate") for m in marked]
+        kinds = bytes(0 if g else conversations.kind_of(r, m == "truncated") for g, (r, _), m in zip(gone, turns, marked, strict=True))
+        own, leave = conversations.ending(*conversations.forward(kinds, 0))
+        letters = conversations.edits(kinds, 0, leave) + {1: "II", 2: "I"}.get(leave, "")
+        assert (own, letters) == (cost, audit)
+        assert tuple(conversations.applied(letters, turns)) == made
+
+
+def test_the_model_itself_against_all_edits():
+    """Every string of edits up to a length, for short conversations."""
+    rng = random.Random(5)
+    for _ in range(60):
+        turns = random_turns(rng, rng.randrange(0, 4))
+        marked = marks(turns)
+        best = None
+        for n in range(len(turns), len(turns) + 4):
+            for letters in itertools.product("DIKR", repeat=n):
+                if sum(x != "I" for x in letters) != len(turns):
+                    continue
+                for roles in itertools.product("ua", repeat=sum(x in "IR" for x in letters)):
+                    roles, at, cost, initials, ok = list(roles), 0, 0, "", True
+                    for x in letters:
+                        cost += {"D": 3, "I": 2, "K": 0, "R": 2}[x]
+                        if x == "I":
+                            initials += roles.pop(0)
+                            continue
+                        if x != "D":
+                            ok &= marked[at] not in ("blank", "duplicate")
+                            cost += marked[at] == "truncated"
+                            initials += roles.pop(0) if x == "R" else turns[at][0][:1] or "?"
+                        at += 1
+                    if ok and re.fullmatch("(s?(ua)+)?", initials):
+                        best = min(best or (cost, "".join(letters)), (cost, "".join(letters)))
+        assert cheapest(turns, marked)[:2] == best
+
+
+def test_the_query_on_the_table(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    out = {tuple(r) for r in queries.op11_conversation_repair(spark, SF).select(*COLUMNS).collect()}
+    assert out == expected(rows)
+
+
+@pytest.mark.parametrize(("chunk", "partitions"), [(1 << 17, 1), (3, 4), (1, 2)])
+def test_chunks_and_partitions_do_not_show(spark, chunk, partitions):
+    rng = random.Random(chunk)
+    rows = []
+    for conv_id in [None, *range(30)]:
+        n = rng.choice([0, 1, 2, 5, 9, 60])
+        numbers = [None, *range(1, 2 * n)] if n else [1]
+        order = sorted(rng.sample(numbers, max(1, n)), key=lambda t: (t is not None, t))
+        rows += [(conv_id, t, *turn) for t, turn in zip(order, random_turns(rng, len(order)), strict=True)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", str(partitions == 1).lower())
+    try:
+        assert found(spark, spark.createDataFrame(rows, SCHEMA).repartition(partitions), most_turns=chunk) == expected(rows)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_a_long_conversation_is_searched_in_pieces(spark):
+    rng = random.Random(9)
+    rows = [(7, t, *turn) for t, turn in enumerate(random_turns(rng, 1500))] + [(8, t, r, x) for t, (r, x) in enumerate(random_turns(rng, 3))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    pieces = conversations.repaired(spark, conversations.damaged(df), most_turns=64)
+    assert pieces.where("conv_id = 7").count() > 20
+    assert found(spark, df, most_turns=64) == expected(rows)
+
+
+def test_nulls_empties_ties_extra_columns_and_long_texts(spark):
+    rows = [
+        (1, None, None, None), (1, None, "user", "Hello."), (2, 5, "assistant", "x" * 300_000 + "."), (2, 9, "user", "One? " * 50_000),
+        (None, None, None, None), (None, 3, "user", "Hm"), (3, -(2**40), "system", "s."), (3, 2**40, "user", ""), (4, 1, "", ""),
+    ]
+    df = spark.createDataFrame(rows, SCHEMA)
+    clashing = df.selectExpr("*", "1 AS part", "'x' AS kinds", "true AS whole", "2 AS cost", "array(1) AS rows", "text AS audit")
+    assert found(spark, clashing) == expected(rows)
+    # Equal rows of one turn, and different ones: by role and a hash of the text, so in one order whatever the partitions.
+    tied = [(1, 2, "user", f"{w}?") for w in "abcdef"] * 3 + [(1, 2, "assistant", "No.")] * 4
+    out = [found(spark, spark.createDataFrame(random.Random(i).sample(tied, len(tied)), SCHEMA).repartition(i + 1)) for i in range(3)]
+    assert out[0] == out[1] == out[2]
+    assert found(spark, spark.createDataFrame([], SCHEMA)) == set()
+
+
+def test_conversations_without_rows_are_returned(spark):
+    lost = [(i, t, "user", "Hi.") for i in range(3) for t in range(2000) if zlib.crc32(f"{i}:{t}".encode()) % 20 == 0][:200]
+    out = found(spark, spark.createDataFrame(lost, SCHEMA))
+    empty = hashlib.sha256(b"").hexdigest()
+    assert out == {(i, 0, 0, 0, 0, 0, 0, "", empty) for i, _, _, _ in lost}
