@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from spindlewatch.llm import conversations, decontamination, pii, quality, rules, sentences, sharding, simhash, substrings, token_files, warc
+from spindlewatch.llm import collocations, conversations, decontamination, pii, quality, rules, sentences, sharding, simhash, substrings, token_files, warc
 from spindlewatch.llm.parameters import PSEUDONYM_KEY, tokenizer
 
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -82,6 +82,11 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.summaries(conversations.repaired(spark, rows))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 strongest phrases of two to four words of each language."""
+    return collocations.collocations(spark, _table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -94,9 +99,11 @@ QUERIES: dict[str, Query] = {
     "op9_sentencepiece": op9_sentencepiece,
     "op10_simhash": op10_simhash,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_collocations": op12_collocations,
     "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {
     "op2_quality_rules": rules.ORACLE.replace("@columns", f"doc_id, {', '.join(_COUNTS)}, base_failed, {rules.KEPT} AS kept"),
+    "op12_collocations": collocations.ORACLE,
 }
