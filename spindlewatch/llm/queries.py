@@ -8,7 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from spindlewatch.llm import collocations, conversations, decontamination, pii, quality, rules, sentences, sharding, simhash, substrings, token_files, warc
+from spindlewatch.llm import (
+    collocations,
+    conversations,
+    decontamination,
+    languages,
+    pii,
+    quality,
+    rules,
+    sentences,
+    sharding,
+    simhash,
+    substrings,
+    token_files,
+    warc,
+)
 from spindlewatch.llm.parameters import PSEUDONYM_KEY, tokenizer
 
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -87,6 +101,11 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(spark, _table(spark, sf_dir, "documents"))
 
 
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted language of every document, learnt from those that are not held out."""
+    return languages.identified(spark, _table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -100,6 +119,7 @@ QUERIES: dict[str, Query] = {
     "op10_simhash": op10_simhash,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_collocations": op12_collocations,
+    "op13_language_id": op13_language_id,
     "pipeline": corpus_pipeline.run,
 }
 
