@@ -21,7 +21,8 @@ from spindlewatch.sinks.tables import write_result, write_telemetry
 from spindlewatch.sinks.timing_log import append_timings
 from spindlewatch.sources.events_view import raw_telemetry, read_events, reset_telemetry, timing_log
 from spindlewatch.sources.tables import read_raw, read_result, read_telemetry, read_timing_log
-from spindlewatch.streaming.ingest import ingest
+from spindlewatch.streaming.ingest import ingest, raw_stream
+from spindlewatch.streaming.views import DiskState, FailureCounts, VaultDayChanges, View
 
 try:
     from spindlewatch.llm import queries as corpus
@@ -34,6 +35,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 # Fine enough for the approximate quartiles to be the exact discrete ones, which the oracle computes.
 FINE_ACCURACY = 1_000_000
+# What merged sketches of views.SKETCH_ITEMS items promise.
+SKETCH_ERROR = 0.005
 # Probabilities whose products with a count are not exact in binary.
 OTHER_PERCENTILES = {"p07": 0.07, "p29": 0.29, "p55": 0.55}
 
@@ -107,6 +110,41 @@ def _stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_telemetry(spark, path)
 
 
+def _kept(spark: SparkSession, sf_dir: str, view: View) -> None:
+    """Ingest all telemetry with ``view``: four sets of days in disorder, one file of each a batch, the first set twice."""
+    directory, raw = scratch_path(spark, "arriving"), _raw(spark, sf_dir)
+    part = F.pmod(F.xxhash64("date"), F.lit(4))
+    for number, arrived in enumerate((2, 0, 3, 1, 2)):
+        raw.where(part == arrived).coalesce(1).write.parquet(f"{directory}/{number}")
+    stream = raw_stream(spark, f"{directory}/*", raw.schema, maxFilesPerTrigger=1)
+    ingest(stream, scratch_path(spark, "ingested"), scratch_path(spark, "ingest-state"), views=[view]).awaitTermination()
+
+
+def _disk_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    view = DiskState(scratch_path(spark, "disk-state"), buckets=16)
+    _kept(spark, sf_dir, view)
+    latest = view.disks(spark, "latest").select("serial_number", F.col("s9_power_on_hours").alias("latest_hours"))
+    return view.disks(spark).join(latest, "serial_number")
+
+
+def _disk_state_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    view = DiskState(scratch_path(spark, "disk-state"), buckets=16)
+    _kept(spark, sf_dir, view)
+    return _near_ranks(view.disks(spark), view.hours_stats(spark).withColumn("failure", F.col("failure") == 1), SKETCH_ERROR)
+
+
+def _failure_counts_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    view = FailureCounts(scratch_path(spark, "failure-counts"))
+    _kept(spark, sf_dir, view)
+    return view.read(spark)
+
+
+def _stream_vault_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    view = VaultDayChanges(scratch_path(spark, "vault-day-changes"))
+    _kept(spark, sf_dir, view)
+    return view.read(spark)
+
+
 def _shared_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
     directory = scratch_path(spark, "results")
     partial = job.materialize(failures.failures_by_vault_model(_cleaned(spark, sf_dir)), f"{directory}/partial")
@@ -138,21 +176,26 @@ def _evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _within_rank_error(df: DataFrame) -> DataFrame:
-    """Whether the ranks of the approximate quartiles, at the shipped accuracy, lie within the promised error."""
-    collapsed = disks.disk_collapse(df)
+def _near_ranks(collapsed: DataFrame, stats: DataFrame, error: float) -> DataFrame:
+    """Whether the ranks of the quartiles in ``stats`` lie within this share of the disks, and one more, of what they should be."""
     names = ", ".join(f"'{name}', `{name}`, {p}D" for name, p in QUARTILES.items())
-    marks = percentiles.stats_approx(collapsed).selectExpr("failure", f"stack(3, {names}) AS (percentile, mark, p)")
+    marks = stats.selectExpr("failure", f"stack(3, {names}) AS (percentile, mark, p)")
     ranks = collapsed.join(F.broadcast(marks), "failure").groupBy("failure", "percentile", "p").agg(
         F.count("*").alias("n"),
         F.count_if(F.col("s9_power_on_hours") < F.col("mark")).alias("below"),
         F.count_if(F.col("s9_power_on_hours") <= F.col("mark")).alias("up_to"),
     )
-    error = 1.0 + F.col("n") / percentiles.ACCURACY
-    near = (F.col("below") <= F.col("n") * F.col("p") + error) & (F.col("up_to") >= F.col("n") * F.col("p") - error)
+    most = 1.0 + F.col("n") * error
+    near = (F.col("below") <= F.col("n") * F.col("p") + most) & (F.col("up_to") >= F.col("n") * F.col("p") - most)
     return ranks.select("failure", "percentile", near.alias("within"))
 
 
+def _within_rank_error(df: DataFrame) -> DataFrame:
+    """Whether the ranks of the approximate quartiles, at the shipped accuracy, lie within the promised error."""
+    collapsed = disks.disk_collapse(df)
+    return _near_ranks(collapsed, percentiles.stats_approx(collapsed), 1.0 / percentiles.ACCURACY)
+
+
 def _own_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     sql_reports.register_views(spark, _cleaned(spark, sf_dir))
     return spark.sql(
@@ -172,6 +215,10 @@ def _telemetry_queries() -> dict[str, Query]:
         "telemetry_roundtrip": _telemetry_roundtrip,
         "csv_roundtrip": _csv_roundtrip,
         "stream_ingest": _stream_ingest,
+        "disk_state_incremental": _disk_state,
+        "disk_state_sketches": _disk_state_sketches,
+        "failure_counts_incremental": _failure_counts_kept,
+        "stream_vault_days": _stream_vault_days,
         "result_json": _on_cleaned(lambda df: to_key_value(reports.top_models(df), TOP_MODELS)),
         "result_json_by_day": _on_cleaned(
             lambda df: to_key_value(reports.vault_days(df), VAULT_DAYS)
@@ -315,6 +362,12 @@ _TOP_MODELS = "SELECT * FROM by_model ORDER BY failures_count DESC, model LIMIT
 _TOP_VAULTS = "SELECT * FROM by_vault ORDER BY failures_count DESC, vault_id LIMIT {k}"
 _BY_VAULT_MODEL = "SELECT vault_id, model, count(*) AS failures_count FROM cleaned WHERE failure GROUP BY ALL"
 
+_BY_DAY_VAULT_MODEL = "SELECT event_date, vault_id, model, count(*) AS failures_count FROM cleaned WHERE failure GROUP BY ALL"
+_WITHIN = (
+    "SELECT failure, percentile, true AS within FROM (SELECT DISTINCT failure FROM disks), "
+    f"(VALUES {', '.join(f"('{name}')" for name in QUARTILES)}) AS p(percentile)"
+)
+
 
 def _percentile(p: float) -> str:
     return (
@@ -349,6 +402,13 @@ def oracle_sql() -> dict[str, str]:
         "telemetry_roundtrip": "SELECT * FROM cleaned",
         "csv_roundtrip": _TOP_VAULTS.format(k=10),
         "stream_ingest": "SELECT * FROM cleaned",
+        "disk_state_incremental": (
+            "SELECT serial_number, bool_or(failure) AS failure, max(s9_power_on_hours) AS s9_power_on_hours, "
+            "arg_max(s9_power_on_hours, {'d': event_date, 'h': s9_power_on_hours}) AS latest_hours FROM cleaned GROUP BY serial_number"
+        ),
+        "disk_state_sketches": _WITHIN,
+        "failure_counts_incremental": _BY_DAY_VAULT_MODEL,
+        "stream_vault_days": _VAULT_DAYS,
         "result_json": (
             "SELECT 'query2-1' AS key, CAST(to_json(list({'model': model, 'failures_count': failures_count} "
             "ORDER BY failures_count DESC, model)) AS VARCHAR) AS value "
@@ -384,9 +444,7 @@ def oracle_sql() -> dict[str, str]:
         "failed_rows": "SELECT * FROM cleaned WHERE failure",
         "failures_by_day_vault": "SELECT * FROM by_day_vault",
         "failures_by_vault_model": _BY_VAULT_MODEL,
-        "failures_by_day_vault_model": (
-            "SELECT event_date, vault_id, model, count(*) AS failures_count FROM cleaned WHERE failure GROUP BY ALL"
-        ),
+        "failures_by_day_vault_model": _BY_DAY_VAULT_MODEL,
         "failures_by_model": "SELECT * FROM by_model",
         "failures_by_vault": "SELECT vault_id, failures_count FROM by_vault",
         "models_per_vault": "SELECT vault_id, list_of_models FROM by_vault",
@@ -407,10 +465,7 @@ def oracle_sql() -> dict[str, str]:
         "hours_stats": _stats_sql("disks", _STATS),
         "hours_stats_latest": _stats_sql("latest", _STATS),
         "hours_stats_approx": _STATS_APPROX,
-        "hours_stats_approx_error": (
-            "SELECT failure, percentile, true AS within FROM (SELECT DISTINCT failure FROM disks), "
-            f"(VALUES {', '.join(f"('{name}')" for name in QUARTILES)}) AS p(percentile)"
-        ),
+        "hours_stats_approx_error": _WITHIN,
         "sql_views": "SELECT * FROM by_model",
         "sql_vault_days": _VAULT_DAYS,
         "sql_failures_by_vault_model": _BY_VAULT_MODEL,

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
+from datetime import date
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +17,7 @@ from spindlewatch.schema import TELEMETRY
 from spindlewatch.shared import written
 from spindlewatch.sinks.tables import write_telemetry
 from spindlewatch.sources.tables import check_format, read_telemetry
+from spindlewatch.streaming.views import View
 
 # Day first: a batch then looks for earlier copies in its own days only. New rows are brought together by day, so that
 # a batch adds few files to each; the rebalance splits a day that holds much of the batch.
@@ -62,18 +65,35 @@ def new_rows(batch: DataFrame, path: str, fmt: str = "parquet") -> DataFrame:
     Both sides hold a row once and are hashed on every column, so no key of the join can be hot. The batch is cleaned
     once, into a scratch table; its days, no more than the calendar has, filter the partitions of the table exactly.
     """
-    spark = batch.sparkSession
-    cleaned = written(spark, clean(batch), "batch")
+    cleaned = written(batch.sparkSession, clean(batch), "batch")
+    return _absent(cleaned, _days(cleaned), path, fmt)
+
+
+def _days(cleaned: DataFrame) -> list[date] | None:
+    """The days of a batch, or None if there are more than ``MOST_DAYS``."""
     days = [r.event_date for r in cleaned.select("event_date").distinct().take(MOST_DAYS + 1)]
-    held = read_telemetry(spark, path, fmt)
-    if len(days) <= MOST_DAYS:
+    return days if len(days) <= MOST_DAYS else None
+
+
+def _absent(cleaned: DataFrame, days: list[date] | None, path: str, fmt: str) -> DataFrame:
+    held = read_telemetry(cleaned.sparkSession, path, fmt)
+    if days is not None:
         held = held.where(F.col("event_date").isin(days))
     return cleaned.join(held, TELEMETRY.names, "left_anti")
 
 
-def append_new(batch: DataFrame, path: str, fmt: str = "parquet") -> None:
-    check_layout(batch.sparkSession, path, fmt)
-    write_telemetry(new_rows(batch, path, fmt), path, fmt, **LAYOUT, mode="append")
+def append_new(batch: DataFrame, path: str, fmt: str = "parquet", views: Sequence[View] = ()) -> None:
+    """Append what is new in ``batch`` to the table, then bring each of ``views`` up to date.
+
+    Views take the whole batch, not what was new in it: when a batch runs again, its rows are in the table already.
+    """
+    spark = batch.sparkSession
+    check_layout(spark, path, fmt)
+    cleaned = written(spark, clean(batch), "batch")
+    days = _days(cleaned)
+    write_telemetry(_absent(cleaned, days, path, fmt), path, fmt, **LAYOUT, mode="append")
+    for view in views:
+        view(cleaned, read_telemetry(spark, path, fmt), days)
 
 
 def ingest(
@@ -81,17 +101,19 @@ def ingest(
     path: str,
     checkpoint: str,
     fmt: str = "parquet",
+    views: Sequence[View] = (),
 ) -> StreamingQuery:
     """Clean every raw file that has arrived into the table at ``path``, then stop.
 
-    Run it again when more has arrived; ``checkpoint`` remembers which files are done.
+    Run it again when more has arrived; ``checkpoint`` remembers which files are done. ``views`` are kept up to date with
+    every batch (:mod:`spindlewatch.streaming.views`).
     """
     spark = raw.sparkSession
     check_layout(spark, path, fmt)
     write_telemetry(spark.createDataFrame([], TELEMETRY), path, fmt, **LAYOUT, mode="append")
     return (
         raw.writeStream
-        .foreachBatch(lambda batch, _: append_new(batch, path, fmt))
+        .foreachBatch(lambda batch, _: append_new(batch, path, fmt, views))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
