@@ -17,10 +17,10 @@ from spindlewatch.plans import job, reports, sql_reports, timing
 from spindlewatch.schema import QUARTILES, RAW_COLUMNS, TOP_MODELS, TOP_VAULTS, VAULT_DAYS
 from spindlewatch.shared import scratch_path
 from spindlewatch.sinks.key_value import to_key_value
-from spindlewatch.sinks.tables import write_result, write_telemetry
+from spindlewatch.sinks.tables import write_bucketed, write_result, write_telemetry
 from spindlewatch.sinks.timing_log import append_timings
 from spindlewatch.sources.events_view import raw_telemetry, read_events, reset_telemetry, timing_log
-from spindlewatch.sources.tables import read_raw, read_result, read_telemetry, read_timing_log
+from spindlewatch.sources.tables import read_bucketed, read_raw, read_result, read_telemetry, read_timing_log
 from spindlewatch.streaming.ingest import ingest, raw_stream
 from spindlewatch.streaming.views import DiskState, FailureCounts, VaultDayChanges, View
 
@@ -86,6 +86,12 @@ def _telemetry_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_telemetry(spark, path)
 
 
+def _bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, buckets = scratch_path(spark, "bucketed"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    write_bucketed(_cleaned(spark, sf_dir), path, buckets)
+    return read_bucketed(spark, path, buckets)
+
+
 def _csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     directory = scratch_path(spark, "results")
     write_result(reports.top_vaults(_cleaned(spark, sf_dir)), directory, TOP_VAULTS)
@@ -213,6 +219,7 @@ def _telemetry_queries() -> dict[str, Query]:
         # Sources and sinks
         "scan_parquet": _raw_roundtrip,
         "telemetry_roundtrip": _telemetry_roundtrip,
+        "telemetry_bucketed": _bucketed,
         "csv_roundtrip": _csv_roundtrip,
         "stream_ingest": _stream_ingest,
         "disk_state_incremental": _disk_state,
@@ -259,6 +266,7 @@ def _telemetry_queries() -> dict[str, Query]:
         "top_vaults_k4": _on_cleaned(lambda df: reports.top_vaults(df, 4)),
         # Power-on hours
         "disk_collapse": _on_cleaned(disks.disk_collapse),
+        "disk_collapse_bucketed": lambda spark, sf_dir: disks.disk_collapse(_bucketed(spark, sf_dir)),
         "disk_collapse_latest": _on_reset(lambda df: disks.disk_collapse(df, "latest")),
         "hours_min_max_count": _on_cleaned(lambda df: disks.hours_min_max_count(disks.disk_collapse(df))),
         "hours_percentiles_exact": _on_cleaned(
@@ -400,6 +408,7 @@ def oracle_sql() -> dict[str, str]:
     bodies = {
         "scan_parquet": "SELECT * FROM raw",
         "telemetry_roundtrip": "SELECT * FROM cleaned",
+        "telemetry_bucketed": "SELECT * FROM cleaned",
         "csv_roundtrip": _TOP_VAULTS.format(k=10),
         "stream_ingest": "SELECT * FROM cleaned",
         "disk_state_incremental": (
@@ -455,6 +464,7 @@ def oracle_sql() -> dict[str, str]:
         "top_vaults": _TOP_VAULTS.format(k=10),
         "top_vaults_k4": _TOP_VAULTS.format(k=4),
         "disk_collapse": "SELECT * FROM disks",
+        "disk_collapse_bucketed": "SELECT * FROM disks",
         "disk_collapse_latest": "SELECT * FROM latest",
         "hours_min_max_count": (
             "SELECT CAST(failure AS INTEGER) AS failure, min(s9_power_on_hours) AS min, max(s9_power_on_hours) AS max, "

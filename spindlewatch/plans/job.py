@@ -13,9 +13,9 @@ from spindlewatch.plans import reports, sql_reports
 from spindlewatch.plans.timing import mean_times, session_workers, timed
 from spindlewatch.schema import AVERAGES, HOURS_STATS, REPORTS, TOP_MODELS, TOP_VAULTS, VAULT_DAYS, Report
 from spindlewatch.sinks.key_value import to_key_value
-from spindlewatch.sinks.tables import BY_DISK, write_result, write_telemetry
+from spindlewatch.sinks.tables import write_bucketed, write_result, write_telemetry
 from spindlewatch.sinks.timing_log import append_timings, timing_frame
-from spindlewatch.sources.tables import read_raw, read_result, read_telemetry, read_timing_log
+from spindlewatch.sources.tables import read_bucketed, read_raw, read_result, read_telemetry, read_timing_log
 
 # Query selectors, the queries' names and the reports each one writes.
 QUERIES = {
@@ -45,14 +45,27 @@ def prepare(
     clean_path: str,
     fmt: str = "parquet",
     dedup: str | None = "projected",
-    cluster_by: str | None = BY_DISK,
+    cluster_by: str | None = None,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Clean the raw table into ``clean_path`` and return what was written there.
 
-    The table is written for repeated reporting, hence by disk; ``cluster_by=None`` saves that shuffle.
+    The layout is plain unless ``cluster_by`` (:func:`spindlewatch.sinks.tables.write_telemetry`) or, for parquet,
+    ``buckets`` (:func:`spindlewatch.sinks.tables.write_bucketed`) asks for another, which cost a shuffle and pay for large
+    tables that are reported on repeatedly.
     """
-    write_telemetry(clean(read_raw(spark, raw_path, fmt), dedup), clean_path, fmt, cluster_by=cluster_by)
-    return read_telemetry(spark, clean_path, fmt)
+    if buckets is not None and (fmt != "parquet" or cluster_by):
+        raise ValueError("a bucketed table is parquet, without cluster_by")
+    cleaned = clean(read_raw(spark, raw_path, fmt), dedup)
+    if buckets is None:
+        write_telemetry(cleaned, clean_path, fmt, cluster_by=cluster_by)
+    else:
+        write_bucketed(cleaned, clean_path, buckets)
+    return _cleaned(spark, clean_path, fmt, buckets)
+
+
+def _cleaned(spark: SparkSession, clean_path: str, fmt: str, buckets: int | None) -> DataFrame:
+    return read_telemetry(spark, clean_path, fmt) if buckets is None else read_bucketed(spark, clean_path, buckets)
 
 
 def _core(df: DataFrame, query: str, partial_path: str) -> dict[str, Callable[[], DataFrame]]:
@@ -95,6 +108,7 @@ def process(
     fmt: str = "parquet",
     timings_path: str | None = None,
     worker_nodes: int | None = None,
+    buckets: int | None = None,
 ) -> dict[str, DataFrame]:
     """Write the selected reports below ``out_dir`` and return the written results by name.
 
@@ -102,14 +116,14 @@ def process(
     that they scan the table once between them. ``timings_path`` appends one row per query to the run-time log, from
     scan to written result. With ``query="all"`` the partial has a row of its own there, so that no query is charged
     for what others read as well; a query that runs alone is charged for its partial. ``worker_nodes`` is the session's
-    number of executors unless given.
+    number of executors unless given. ``buckets`` says that the cleaned table is bucketed.
     """
     worker_nodes = worker_nodes or session_workers(spark)
     if query != "all" and query not in QUERIES:
         raise ValueError(f"query must be one of {', '.join(QUERIES)} or all, not {query!r}")
     if surface not in SURFACES:
         raise ValueError(f"surface must be one of {', '.join(SURFACES)}, not {surface!r}")
-    df = read_telemetry(spark, clean_path, fmt)
+    df = _cleaned(spark, clean_path, fmt, buckets)
     selected = list(QUERIES.values()) if query == "all" else [QUERIES[query]]
     written: dict[str, Report] = {}
     timings: list[tuple[str, str, int, float]] = []
@@ -141,13 +155,14 @@ def run(
     query: str = "all",
     surface: str = "core",
     fmt: str = "parquet",
-    cluster_by: str | None = BY_DISK,
+    cluster_by: str | None = None,
+    buckets: int | None = None,
     **options,
 ) -> dict[str, DataFrame]:
     """Clean, then report: :func:`prepare` into ``work_dir/preprocessed.<fmt>``, :func:`process` into its results."""
     clean_path = f"{work_dir}/preprocessed.{fmt}"
-    prepare(spark, raw_path, clean_path, fmt, cluster_by=cluster_by)
-    return process(spark, clean_path, f"{work_dir}/results", query, surface, fmt, **options)
+    prepare(spark, raw_path, clean_path, fmt, cluster_by=cluster_by, buckets=buckets)
+    return process(spark, clean_path, f"{work_dir}/results", query, surface, fmt, buckets=buckets, **options)
 
 
 def key_values(results: Mapping[str, DataFrame]) -> DataFrame:

@@ -20,7 +20,13 @@ def timed(action: Callable[[], object]) -> float:
 
 
 def session_workers(spark: SparkSession) -> int:
-    """Executors that a session asks for; a local session is one worker."""
+    """Executors that are registered now, so also under dynamic allocation; a local session is one worker.
+
+    A session that does not show them, as a remote one, is asked for what it was configured with.
+    """
+    if (context := getattr(spark, "sparkContext", None)) is not None:
+        # One of them is the driver.
+        return max(1, len(context._jsc.sc().statusTracker().getExecutorInfos()) - 1)
     master = spark.conf.get("spark.master", None) or ""
     if found := re.fullmatch(r"local-cluster\[(\d+),.*\]", master):
         return int(found[1])

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 
 from spindlewatch.schema import FORMATS, RAW_COLUMNS, TELEMETRY, TIMING_LOG, Report
@@ -28,6 +31,33 @@ def read_telemetry(spark: SparkSession, path: str, fmt: str = "parquet") -> Data
     return df.select(*TELEMETRY.names)
 
 
+def bucketed_name(path: str) -> str:
+    """The catalog's name of the bucketed table at ``path``."""
+    return f"telemetry_{hashlib.sha256(path.rstrip('/').encode()).hexdigest()[:24]}"
+
+
+def read_bucketed(spark: SparkSession, path: str, buckets: int, partition_by: Sequence[str] = ("failure",)) -> DataFrame:
+    """A table that :func:`spindlewatch.sinks.tables.write_bucketed` wrote, with its layout known to the planner.
+
+    Where the catalog does not have it, as in another session, it is declared over its files; ``buckets`` and
+    ``partition_by`` must be those it was written with, and are checked against a catalog that has it.
+    """
+    name = bucketed_name(path)
+    if not spark.catalog.tableExists(name):
+        columns = ", ".join(f"{field.name} {field.dataType.simpleString()}" for field in TELEMETRY)
+        parted = f"PARTITIONED BY ({', '.join(partition_by)})" if partition_by else ""
+        spark.sql(
+            f"CREATE TABLE {name} ({columns}) USING parquet {parted} "
+            f"CLUSTERED BY (serial_number) SORTED BY (serial_number) INTO {int(buckets)} BUCKETS LOCATION '{path}'"
+        )
+        if partition_by:
+            spark.catalog.recoverPartitions(name)
+    known = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE EXTENDED {name}").collect()}.get("Num Buckets")
+    if known != str(buckets):
+        raise ValueError(f"{path} has {known} buckets, not {buckets}")
+    return spark.table(name).select(*TELEMETRY.names)
+
+
 def read_result(spark: SparkSession, directory: str, report: Report) -> DataFrame:
     """A written report, with its declared types and not as strings, in its order.
 

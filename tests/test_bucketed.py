@@ -1,0 +1,75 @@
+import re
+
+import pytest
+
+from spindlewatch.operators.disks import disk_collapse
+from spindlewatch.plans import job, reports
+from spindlewatch.plans.timing import session_workers
+from spindlewatch.sinks.tables import write_bucketed
+from spindlewatch.sources.events_view import raw_telemetry, read_events
+from spindlewatch.sources.tables import bucketed_name, read_bucketed, read_telemetry
+from tests.helpers import telemetry
+
+SF_DIR = "/root/testdata/sf0.01"
+ROWS = [(d, f"SN-{i}", f"M {i % 3}", i % 5 == 0, i % 4, float(d * i)) for d in range(1, 8) for i in range(40)]
+
+
+def shuffles(df):
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return re.findall(r"(?<!Broadcast)Exchange (\w+)\(([^)]*)\)", plan)
+
+
+@pytest.mark.parametrize("partition_by", [("failure",), (), ("event_date",)])
+def test_round_trip_in_this_and_another_session(spark, tmp_path, partition_by):
+    df, path = telemetry(spark, ROWS), f"{tmp_path}/t"
+    for _ in range(2):
+        write_bucketed(df, path, 4, partition_by)
+    assert sorted(read_bucketed(spark, path, 4, partition_by).collect()) == sorted(df.collect())
+    # Another session knows the files alone.
+    spark.sql(f"DROP TABLE {bucketed_name(path)}")
+    again = read_bucketed(spark, path, 4, partition_by)
+    assert sorted(again.collect()) == sorted(read_telemetry(spark, path).collect()) == sorted(df.collect())
+    assert shuffles(disk_collapse(again)) == []
+    with pytest.raises(ValueError, match="4 buckets"):
+        read_bucketed(spark, path, 8, partition_by)
+
+
+def test_the_collapse_does_not_shuffle(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    write_bucketed(telemetry(spark, ROWS), path, 6)
+    table = read_bucketed(spark, path, 6)
+    for hours in ("max", "latest"):
+        found = disk_collapse(table, hours)
+        assert shuffles(found) == []
+        assert sorted(found.collect()) == sorted(disk_collapse(telemetry(spark, ROWS), hours).collect())
+    assert all("serial_number" not in keys for _, keys in shuffles(reports.hours_stats(table)))
+    assert any("serial_number" in keys for _, keys in shuffles(reports.hours_stats(read_telemetry(spark, path))))
+    # The failure reports prune to the failed files as before.
+    plan = reports.top_models(table)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*failure", plan)
+
+
+def test_the_job_over_buckets_gives_the_same_reports(spark, tmp_path):
+    raw_telemetry(read_events(spark, SF_DIR)).write.parquet(f"{tmp_path}/raw")
+    plain = job.run(spark, f"{tmp_path}/raw", f"{tmp_path}/a")
+    bucketed = job.run(spark, f"{tmp_path}/raw", f"{tmp_path}/b", buckets=4)
+    assert {n: df.collect() for n, df in bucketed.items()} == {n: df.collect() for n, df in plain.items()}
+    for options in ({"fmt": "avro"}, {"cluster_by": "vault_id"}):
+        with pytest.raises(ValueError, match="bucketed"):
+            job.prepare(spark, f"{tmp_path}/raw", f"{tmp_path}/c", buckets=4, **options)
+
+
+def test_workers_are_those_registered(spark):
+    class Tracker:
+        def __init__(self, executors):
+            self.executors = executors
+
+        def __getattr__(self, name):
+            return {"_jsc": self, "sc": lambda: self, "statusTracker": lambda: self, "getExecutorInfos": lambda: range(self.executors + 1)}[name]
+
+    class Session:
+        sparkContext = Tracker(7)  # noqa: N815
+
+    assert session_workers(Session) == 7
+    assert session_workers(spark) == 1
