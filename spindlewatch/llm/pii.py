@@ -115,9 +115,13 @@ class Pseudonyms:
         digits = re.sub(r"\D", "", text)
         if not 13 <= len(digits) <= 19 or len(set(digits)) == 1 or luhn(digits[:-1]) != int(digits[-1]):
             return None
-        moved = self._move("card", [int(d) for d in digits[1:-1]], [10] * (len(digits) - 2), step)
-        body = digits[0] + "".join(map(str, moved))
-        return _refill(text, body + str(luhn(body)))
+        # One digit repeated is no card number, so such places are walked over.
+        while True:
+            moved = self._move("card", [int(d) for d in digits[1:-1]], [10] * (len(digits) - 2), step)
+            digits = digits[0] + "".join(map(str, moved))
+            digits += str(luhn(digits))
+            if len(set(digits)) > 1:
+                return _refill(text, digits)
 
     def ip(self, text: str, step: int = 1) -> str | None:
         parts = text.split(".")
@@ -148,7 +152,8 @@ class Pseudonyms:
         def rest(body: str) -> int:
             return int("".join(str(int(c, 36)) for c in body)) % 97
 
-        if not 15 <= len(plain) <= 34 or rest(plain[4:] + plain[:4]) != 1:
+        # 00, 01 and 99 leave the same rest as 97, 98 and 02, which alone are check digits.
+        if not 15 <= len(plain) <= 34 or rest(plain[4:] + plain[:4]) != 1 or not 2 <= int(plain[2:4]) <= 98:
             return None
         body = self._classes("iban" + plain[:2], plain[4:], step)
         return _refill(text, f"{plain[:2]}{98 - rest(body + plain[:2] + '00'):02d}{body}")
@@ -181,10 +186,17 @@ class Pseudonyms:
         return mark.join(parts[{v: k for k, v in enumerate(order)}[i]] for i in range(3))
 
     def secret(self, text: str, step: int = 1) -> str | None:
-        """A key or password: the same characters' classes, hexadecimal digits among themselves."""
-        if re.fullmatch("[0-9a-f]+", text) and re.search(r"\d", text):
-            return self._within("hex", text, "0123456789abcdef", step)
-        return self._classes("secret", text, step)
+        """A key or password: hexadecimal ones, which have a digit, among themselves, others with the same characters'
+        classes. Each walks on over the places of the other."""
+
+        def hexadecimal(value: str) -> bool:
+            return re.fullmatch("[0-9a-f]+", value) is not None and re.search("[0-9]", value) is not None
+
+        own = hexadecimal(text)
+        while True:
+            text = self._within("hex", text, "0123456789abcdef", step) if own else self._classes("secret", text, step)
+            if hexadecimal(text) == own:
+                return text
 
     def access_key(self, text: str, step: int = 1) -> str | None:
         return text[:4] + self._within("access", text[4:], "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", step)

@@ -84,6 +84,39 @@ def test_secrets_behind_names_in_any_case_and_days_before_months(names):
     assert len(seen) > 600 and names.day("31/02/2020") is None
 
 
+@pytest.mark.parametrize("alphabet, length", [("0123456789abcdefxyz", 3), ("01afzAZ", 4), ("0123456789abcdef", 4)])
+def test_no_two_secrets_share_a_pseudonym(names, alphabet, length):
+    values = ["".join(v) for v in itertools.product(alphabet, repeat=length)]
+    images = [names.secret(v) for v in values]
+    assert len(set(images)) == len(values)
+    assert [names.secret(i, -1) for i in images] == values
+
+
+def test_secrets_permute_all_short_words(names):
+    values = {"".join(v) for n in (1, 2) for v in itertools.product("0123456789abcdefghijklmnopqrstuvwxyz", repeat=n)}
+    assert {names.secret(v) for v in values} == values
+
+
+def test_cards_walk_over_one_digit_repeated(names):
+    for digits in (13, 16):
+        before = names._move("card", [0] * (digits - 2), [10] * (digits - 2), -1)
+        body = "0" + "".join(map(str, before))
+        value = body + str(pii.luhn(body))
+        image = names.card(value)
+        assert len(set(image)) > 1 and names.card(image) is not None and names.card(image, -1) == value
+
+
+def test_ibans_have_one_form(names):
+    assert names.iban("AB0100000000017") is None and names.iban("AB9800000000017") is not None
+    rng = random.Random(1)
+    for _ in range(300):
+        body = "".join(rng.choice("0123456789") for _ in range(12))
+        right = 98 - int("".join(str(int(c, 36)) for c in body + "DE00")) % 97
+        forms = [f"DE{check:02d}{body}" for check in {right, right - 97, right + 97} if 0 <= check <= 99]
+        valid = [f for f in forms if names.iban(f)]
+        assert valid == [f"DE{right:02d}{body}"] and names.iban(names.iban(valid[0]), -1) == valid[0]
+
+
 def test_ssns_cover_their_range(names):
     areas = {names.ssn(f"{a:03d}-12-3456")[:3] for a in range(1, 900) if a != 666}
     assert "666" not in areas and "000" not in areas
