@@ -16,6 +16,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,21 +54,30 @@ def _record(page_id: int | None, url: str | None, payload: bytes, sha1: str, ref
     return head.encode() + block + b"\r\n\r\n"
 
 
+_NUMBER = re.compile("[0-9]{1,18}")
+
+
 def parse(data: bytes) -> tuple | None:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of a whole record; None if it is none."""
     head, gap, rest = data.partition(b"\r\n\r\n")
     lines = head.split(b"\r\n")
     if not gap or not lines[0].startswith(b"WARC/"):
         return None
-    fields = {k.strip().lower(): v.strip().decode() for k, _, v in (x.partition(b":") for x in lines[1:])}
-    block = rest[: int(fields.get(b"content-length", "0"))]
+    # Headers are of any origin: bytes that are no UTF-8 are replaced, sizes that are no numbers make no record.
+    fields = {k.strip().lower(): v.strip().decode("utf-8", "replace") for k, _, v in (x.partition(b":") for x in lines[1:])}
+    length = fields.get(b"content-length", "")
+    if not _NUMBER.fullmatch(length):
+        return None
+    block = rest[: int(length)]
     http, gap, payload = block.partition(b"\r\n\r\n")
-    size = next((int(x.partition(b":")[2]) for x in http.split(b"\r\n")[1:] if x.lower().startswith(b"content-length")), len(payload))
+    sizes = (x.partition(b":") for x in http.split(b"\r\n")[1:])
+    sizes = (v.strip().decode("ascii", "replace") for k, _, v in sizes if k.strip().lower() == b"content-length")
+    size = next((int(v) for v in sizes if _NUMBER.fullmatch(v)), len(payload))
     kind = fields.get(b"warc-type")
 
     def number(name: bytes) -> int | None:
         text = fields.get(name, "").strip("<>").removeprefix(_ID)
-        return int(text) if re.fullmatch(r"-?\d+", text) else None
+        return int(text) if re.fullmatch("-?[0-9]{1,19}", text) and -(1 << 63) <= int(text) < 1 << 63 else None
 
     stated = fields.get(b"warc-payload-digest", "").removeprefix("sha1:")
     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode() if kind == "response" else stated
@@ -180,7 +190,8 @@ def _reached(candidates: pa.Table, entries: pa.Table) -> pa.Table:
         while at in row:
             keep.append(row.pop(at))
             at = after[at]
-    return candidates.take(pa.array(keep, pa.int64())).select([x.split(" ")[0] for x in _RECORD.split(", ")])
+    found = candidates.take(pa.array(keep, pa.int64()))
+    return found.filter(pc.is_valid(found.column("record_type"))).select([x.split(" ")[0] for x in _RECORD.split(", ")])
 
 
 def read_archives(spark: SparkSession, files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:

@@ -66,6 +66,35 @@ def test_members_inside_a_payload_are_no_records(spark):
         assert [r[0] for r in read(spark, files, range_bytes)] == [1, 2]
 
 
+def test_foreign_records_neither_break_the_chain_nor_the_job(spark):
+    own = warc._record(1, "u", b"payload", hashlib.sha1(b"payload").hexdigest(), None, "response")
+    head = b"WARC/1.1\r\nWARC-Type: response\r\n"
+    body = b"HTTP/1.1 200 OK\r\nContent-Length: chunked\r\n\r\nabc"
+    digest = base64.b32encode(hashlib.sha1(b"abc").digest())
+    foreign = [
+        b"no record at all",
+        b"",
+        head + b"Content-Length: x\r\n\r\n",
+        head + b"Content-Length: -5\r\n\r\n",
+        head + b"\r\n",
+        head + b"Content-Length: " + b"9" * 30 + b"\r\n\r\n",
+        head + b"X: \xe9\xff\r\nWARC-Payload-Digest: sha1:" + digest + b"\r\nWARC-Record-ID: <urn:x-page:77>\r\nContent-Length: %d\r\n\r\n" % len(body) + body,
+        head.replace(b"response", b"warcinfo") + b"WARC-Record-ID: <urn:x-page:" + b"9" * 19 + b">\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n",
+    ]
+    data = b"".join(warc._members(r) + warc._members(own) for r in foreign)
+    folder = scratch_path(spark, "archive")
+    system, path = locate(folder)
+    system.create_dir(path)
+    with system.open_output_stream(f"{path}/a.warc.gz", compression=None) as out:
+        out.write(data)
+    files = spark.createDataFrame([(f"{folder}/a.warc.gz", len(data), 2)], "file string, bytes long, records long")
+    for range_bytes in (100, 1 << 20):
+        found = read(spark, files, range_bytes)
+        assert all(r[3] is not None for r in found)
+        assert sorted((r[0], r[3]) for r in found if r[0] is not None) == [(1, "response")] * len(foreign) + [(77, "response")]
+        assert [r[3] for r in found if r[0] is None] == ["warcinfo"]
+
+
 def test_the_archives_are_plain_gzip(spark):
     files = warc.write_archives(spark, pages(spark, [(1, "http://a/", "<p>hello</p>"), (2, "http://b/", "<p>hello</p>")]))
     text = b""
