@@ -6,16 +6,17 @@ The distinct chunks and the numbers of their occurrences, the dictionary of the
 what occurs in many copies is read once and weighs as much as all of them. A phrase of up to four words lies whole in the
 chunk that holds its last word behind the shared ones (the first chunk of a text shares none); only there it counts, once.
 
-Phrases are counted length by length. As a part is at least as frequent as the whole, only those are counted whose
-two parts that are a word shorter are frequent, by a bitmap of their hashes. Hashes that meet in a bit let a phrase
-through to the exact count, never the reverse.
+Most phrases are rare, so hashes are counted before phrases: first of pairs, then of words in frequent pairs and of longer
+phrases whose pairs are all frequent, as a part is at least as frequent as the whole. Bitmaps keep the hashes that are
+frequent enough, and the phrases themselves are counted where theirs are set. Phrases whose hashes or bits meet get through to that exact count
+together; none is lost.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-from functools import partial, reduce
+from collections.abc import Iterator, Sequence
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -24,21 +25,21 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spindlewatch.llm.pieces import spread
-from spindlewatch.llm.words import Rolling, Words, mix, slices
+from spindlewatch.llm.words import SLICE_BYTES, Rolling, Words, slices
 from spindlewatch.shared import written
 
 LONGEST = 4
 LEAST = 30
 SUBSUMED = 80
 TOP = 2000
-PERIOD = 32
+PERIOD = 64
 _SHARED = LONGEST - 1
 
-# The bitmap of frequent phrases has this many bits, whatever the number of phrases, and is made in blocks.
-BITMAP_BITS = 26
+# A bitmap has 128 bits or more for each hash that is set, within these bounds (as logarithms), and is made in blocks.
+LEAST_BITS, MOST_BITS = 20, 30
 _BLOCK_BITS = 17
-_SLICE = 8 << 20
+# Pairs are counted over slices of this size: the more at once, the fewer rows.
+_PAIRS_SLICE = 4 << 20
 
 _SPACE, _BREAK = 0x20, 0x0A
 _PLAIN = np.arange(256, dtype=np.uint8)
@@ -51,7 +52,9 @@ def _strings(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> pa.Ar
     """The byte ranges of ``data`` as strings."""
     offsets = np.zeros(len(starts) + 1, np.int64)
     np.cumsum(lengths, out=offsets[1:])
-    return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data[spread(starts, lengths)]))
+    body = data.tobytes()
+    parts = b"".join([body[a:b] for a, b in zip(starts.tolist(), (starts + lengths).tolist(), strict=True)])
+    return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(parts))
 
 
 def _plain(texts: pa.Array) -> pa.Array:
@@ -100,7 +103,7 @@ def chunks(texts: pa.Array, period: int = PERIOD) -> tuple[np.ndarray, np.ndarra
 def _parsed(batches: Iterator[pa.RecordBatch], period: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, langs = batch.column("text"), batch.column("lang")
-        for a, b in slices(texts, _SLICE):
+        for a, b in slices(texts):
             row, head, words = chunks(texts.slice(a, b - a), period)
             table = pa.table({"lang": langs.slice(a, b - a).take(pa.array(row)), "head": head, "chunk": words})
             table = table.group_by(["lang", "head", "chunk"]).aggregate([([], "count_all")])
@@ -121,17 +124,86 @@ def _marks(langs: pa.Array) -> np.ndarray:
     return np.array(values, np.uint64)[coded.indices.to_numpy()] if values else np.zeros(0, np.uint64)
 
 
-def _bits(hashes: np.ndarray, marks: np.ndarray) -> np.ndarray:
-    return (mix(hashes + marks) >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
+class _Chunks:
+    """The words of a slice of the dictionary, with the hashes of their runs and where each run counts."""
 
+    def __init__(self, batch: pa.RecordBatch):
+        self.words = words = Words(batch.column("chunk"))
+        self.langs, self.weight = batch.column("lang"), batch.column("n").to_numpy()
+        self.rolling = Rolling(words.hashes() + _marks(self.langs)[words.row])
+        self.own = words.first[:-1] + np.where(batch.column("head").to_numpy(zero_copy_only=False), 0, _SHARED)
+        parted = np.zeros(len(words), np.int64)
+        parted[1:] = words.data[words.start[1:] - 1] == _BREAK
+        self.piece = np.cumsum(parted)
 
-def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hashes(self, length: int) -> np.ndarray:
+        """Of the run of ``length`` words that begins at each word."""
+        return self.rolling.windows(length, length)
+
+    def together(self, length: int) -> np.ndarray:
+        """Whether the run that begins at each word lies in one chunk and one piece."""
+        n = max(0, len(self.words) - length + 1)
+        return (self.words.row[length - 1 :] == self.words.row[:n]) & (self.piece[length - 1 :] == self.piece[:n])
+
+    def counts(self, length: int) -> np.ndarray:
+        """Whether it also counts in this chunk."""
+        together = self.together(length)
+        return together & (np.arange(length - 1, length - 1 + len(together)) >= self.own[self.words.row[: len(together)]])
+
+
+def _slices(batches: Iterator[pa.RecordBatch], most: int = SLICE_BYTES) -> Iterator[_Chunks]:
     for batch in batches:
-        for a, b in slices(batch.column("phrase"), _SLICE):
-            words = Words(batch.column("phrase").slice(a, b - a))
-            hashes = Rolling(words.hashes()).of(words.first[:-1], np.diff(words.first))
-            bits = np.unique(_bits(hashes, _marks(batch.column("lang").slice(a, b - a))))
-            yield pa.RecordBatch.from_arrays([pa.array(bits, pa.int64())], ["bit"])
+        for a, b in slices(batch.column("chunk"), most):
+            yield _Chunks(batch.slice(a, b - a))
+
+
+def is_set(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether the bits of the hashes are set; a bitmap has a power of two of bytes."""
+    bits = (hashes >> np.uint64(64 - 3 - (len(bitmap).bit_length() - 1))).astype(np.int64)
+    return (bitmap[bits >> 3] >> (7 - (bits & 7)).astype(np.uint8)) & 1 == 1
+
+
+def _paired(common: np.ndarray, length: int) -> np.ndarray:
+    """By ``common``, whether the pair that begins at each word is frequent: for runs of words, whether all their pairs are,
+    for single words, whether one of theirs is."""
+    if length == 1:
+        return np.concatenate([common, [False]]) | np.concatenate([[False], common])
+    out = common[: max(0, len(common) - length + 2)].copy()
+    for at in range(1, length - 1):
+        out &= common[at : at + len(out)]
+    return out
+
+
+def _grouped(hashes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each distinct hash stands first, and the sum of its weights. At least one hash."""
+    order = np.argsort(hashes, kind="stable")
+    ranked = hashes[order]
+    first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+    return order[first], np.add.reduceat(weights[order], first)
+
+
+def _sums(hashes: np.ndarray, weights: np.ndarray) -> Iterator[pa.RecordBatch]:
+    if len(hashes):
+        at, sums = _grouped(hashes, weights)
+        yield pa.RecordBatch.from_arrays([pa.array(hashes[at].view(np.int64)), pa.array(sums)], ["hash", "n"])
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes of all pairs and their weights."""
+    for chunks in _slices(batches, _PAIRS_SLICE):
+        at = np.flatnonzero(chunks.counts(2))
+        yield from _sums(chunks.hashes(2)[at], chunks.weight[chunks.words.row[at]])
+
+
+def _others(batches: Iterator[pa.RecordBatch], pairs: Broadcast) -> Iterator[pa.RecordBatch]:
+    """Hashes of longer phrases whose pairs are all frequent and their weights, and of words in frequent pairs. A word may
+    count twice here, in two chunks, but none less often than its most frequent pair."""
+    for chunks in _slices(batches):
+        common = is_set(pairs.value, chunks.hashes(2)) & chunks.together(2)
+        found = [np.flatnonzero(_paired(common, 1))]
+        found += [np.flatnonzero(chunks.counts(length) & _paired(common, length)) for length in range(3, LONGEST + 1)]
+        hashes = [chunks.hashes(length)[at] for length, at in zip((1, *range(3, LONGEST + 1)), found, strict=True)]
+        yield from _sums(np.concatenate(hashes), chunks.weight[chunks.words.row[np.concatenate(found)]])
 
 
 def _block(table: pa.Table) -> pa.Table:
@@ -141,65 +213,56 @@ def _block(table: pa.Table) -> pa.Table:
     return pa.table({"block": [int(place[0]) >> _BLOCK_BITS], "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
 
 
-def bitmap(spark: SparkSession, phrases: DataFrame) -> Broadcast:
-    """The bits of the hashes of ``phrases``, 8 MB for any number of them, made block by block."""
-    bits = phrases.select("lang", "phrase").mapInArrow(_places, "bit long").distinct()
+def bitmap(spark: SparkSession, hashes: DataFrame) -> Broadcast:
+    """The first bits of each hash as a bitmap, made block by block; 128 MB at most, for any number of hashes."""
+    size = min(MOST_BITS, max(LEAST_BITS, (128 * hashes.count()).bit_length()))
+    bits = hashes.select(F.shiftrightunsigned("hash", 64 - size).alias("bit")).distinct()
     blocks = bits.groupBy(F.shiftright("bit", _BLOCK_BITS)).applyInArrow(_block, "block long, bits binary").collect()
-    out = np.zeros((1 << BITMAP_BITS - _BLOCK_BITS, 1 << _BLOCK_BITS - 3), np.uint8)
+    out = np.zeros((1 << size - _BLOCK_BITS, 1 << _BLOCK_BITS - 3), np.uint8)
     for row in blocks:
         out[row.block] = np.frombuffer(row.bits, np.uint8)
     return spark.sparkContext.broadcast(out.ravel())
 
 
-def _phrases(batches: Iterator[pa.RecordBatch], length: int, parts: Broadcast | None) -> Iterator[pa.RecordBatch]:
-    """Phrases of ``length`` words in the chunks of a slice and their weights, each assigned to one chunk; with the words
-    go the languages' numbers of words, as those of an empty phrase."""
-    for batch in batches:
-        for a, b in slices(batch.column("chunk"), _SLICE):
-            langs, head, weight = (batch.column(c).slice(a, b - a) for c in ("lang", "head", "n"))
-            words = Words(batch.column("chunk").slice(a, b - a))
-            n = len(words) - length + 1
-            if n < 1:
-                continue
-            head, weight = head.to_numpy(zero_copy_only=False), weight.to_numpy()
-            parted = np.zeros(len(words), np.int64)
-            parted[1:] = words.data[words.start[1:] - 1] == _BREAK
-            pieces = np.cumsum(parted)
-            row = words.row[:n]
-            own = words.first[row] + np.where(head[row], 0, _SHARED)
-            ok = (words.row[length - 1 :] == row) & (pieces[length - 1 :] == pieces[:n]) & (np.arange(length - 1, len(words)) >= own)
-            if parts is not None:
-                bits = _bits(Rolling(words.hashes()).windows(length - 1), _marks(langs)[words.row[: n + 1]])
-                known = (parts.value[bits >> 3] >> (7 - (bits & 7)).astype(np.uint8)) & 1 == 1
-                ok &= known[:-1] & known[1:]
-            at = np.flatnonzero(ok)
-            coded = langs.dictionary_encode()
-            lang = coded.indices.to_numpy()[row[at]]
-            texts = _strings(words.data, words.start[at], words.stop[at + length - 1] - words.start[at])
-            table = pa.table({"lang": lang, "phrase": texts, "f": weight[row[at]]})
-            if length == 1:
-                empty = pa.array([""] * len(at), pa.large_string())
-                table = pa.concat_tables([
-                    table.group_by(["lang", "phrase"]).aggregate([("f", "sum")]),
-                    pa.table({"lang": lang, "phrase": empty, "f": weight[row[at]]}).group_by(["lang", "phrase"]).aggregate([("f", "sum")]),
-                ])
-            else:
-                table = table.group_by(["lang", "phrase"]).aggregate([("f", "sum")])
-            yield from table.set_column(0, "lang", coded.dictionary.take(table["lang"].combine_chunks())).rename_columns(["lang", "phrase", "f"]).to_batches()
-
-
-def counted(spark: SparkSession, dictionary: DataFrame, least: int = LEAST) -> list[DataFrame]:
-    """For each length from one word to ``LONGEST`` the phrases with at least ``least`` occurrences, as (lang, phrase, f).
-
-    The empty phrase in the first table has the number of all words of its language.
-    """
-    found: list[DataFrame] = []
-    for length in range(1, LONGEST + 1):
-        parts = bitmap(spark, found[-1].where("phrase != ''")) if found else None
-        rows = dictionary.mapInArrow(partial(_phrases, length=length, parts=parts), "lang string, phrase string, f long")
-        sums = rows.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
-        found.append(written(spark, sums.where((F.col("f") >= least) | (F.col("phrase") == "")), f"phrases-{length}"))
-    return found
+def _phrases(batches: Iterator[pa.RecordBatch], pairs: Broadcast, others: Broadcast) -> Iterator[pa.RecordBatch]:
+    """Phrases whose bits are set and their weights. An empty phrase has each language's number of words."""
+    for chunks in _slices(batches):
+        words, coded = chunks.words, chunks.langs.dictionary_encode()
+        lang = coded.indices.to_numpy()
+        own = np.bincount(words.row[chunks.counts(1)], minlength=len(lang))
+        columns = [(lang, pa.array([""] * len(lang), pa.large_string()), own * chunks.weight)]
+        common = is_set(pairs.value, chunks.hashes(2)) & chunks.together(2)
+        for length in range(1, LONGEST + 1):
+            hashes, ok = chunks.hashes(length), chunks.counts(length)
+            if length > 1:
+                ok &= _paired(common, length)
+            if length != 2:
+                ok &= is_set(others.value, hashes)
+            if ok.any():
+                at = np.flatnonzero(ok)
+                first, sums = _grouped(hashes[at], chunks.weight[words.row[at]])
+                at = at[first]
+                texts = _strings(words.data, words.start[at], words.stop[at + length - 1] - words.start[at])
+                columns.append((lang[words.row[at]], texts, sums))
+        langs, texts, sums = zip(*columns, strict=True)
+        names = coded.dictionary.take(pa.array(np.concatenate(langs)))
+        yield pa.RecordBatch.from_arrays([names, pa.concat_arrays(texts), pa.array(np.concatenate(sums))], ["lang", "phrase", "f"])
+
+
+def counted(spark: SparkSession, dictionary: DataFrame, least: int = LEAST) -> DataFrame:
+    """(lang, phrase, f): the phrases of up to ``LONGEST`` words with at least ``least`` occurrences, and as those of the
+    empty phrase the number of all words of the language."""
+
+    def frequent(rows: DataFrame, name: str) -> Broadcast:
+        sums = rows.groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("hash")
+        return bitmap(spark, written(spark, sums, name))
+
+    hashes = "hash long, n long"
+    pairs = frequent(dictionary.mapInArrow(_pairs, hashes), "pairs")
+    others = frequent(dictionary.mapInArrow(partial(_others, pairs=pairs), hashes), "others")
+    rows = dictionary.mapInArrow(partial(_phrases, pairs=pairs, others=others), "lang string, phrase string, f long")
+    sums = rows.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    return written(spark, sums.where((F.col("f") >= least) | (F.col("phrase") == "")), "phrases")
 
 
 def _run(words: Column, start: Column, length: Column) -> Column:
@@ -249,13 +312,13 @@ def collocations(
     any length; a chunk is as long as a text at most.
     """
     dictionary = written(spark, parse(docs, period), "chunks")
-    words, *longer = counted(spark, dictionary, least)
-    candidates = reduce(DataFrame.unionByName, longer)
-    parts = reduce(DataFrame.unionByName, [words.where("phrase != ''"), *longer[:-1]])
+    counts = counted(spark, dictionary, least)
+    parts = counts.where("phrase != ''")
+    candidates = parts.where(F.instr("phrase", " ") > 0)
     kept = not_subsumed(scored(candidates, parts), candidates, subsumed)
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
     best = kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
-    totals = words.where("phrase = ''").select("lang", F.col("f").alias("n"))
+    totals = counts.where("phrase = ''").select("lang", F.col("f").alias("n"))
     return best.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 

@@ -121,6 +121,14 @@ def test_nulls_empties_long_texts_and_extra_columns(spark):
     assert found(spark, table(spark, rows).limit(0)) == set()
 
 
+def test_a_full_bitmap_only_costs_time(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [("en", prose(rng, 200)) for _ in range(10)] + [("fr", prose(rng, 200))]
+    full = np.full(1 << 14, 255, np.uint8)
+    monkeypatch.setattr(collocations, "bitmap", lambda spark, hashes: spark.sparkContext.broadcast(full))
+    assert found(spark, table(spark, rows), least=4) == expected(rows, least=4)
+
+
 def test_scores_stay_exact_beyond_64_bits(spark):
     big = 9_000_000_000_000_000_001
     phrases = spark.createDataFrame([("en", "a b", big - 7), ("en", "a b c", 40)], "lang string, phrase string, f long")
@@ -129,11 +137,13 @@ def test_scores_stay_exact_beyond_64_bits(spark):
     assert out == {"a b": 2000000 * (big - 7) // (2 * big), "a b c": 0}
 
 
-def test_no_frequent_phrase_is_lost_in_the_bitmap(spark):
-    rng = np.random.default_rng(0)
-    phrases = [("en", f"w{i} v{j}") for i, j in rng.integers(0, 900, (5000, 2))]
-    bits = collocations.bitmap(spark, spark.createDataFrame(phrases, "lang string, phrase string")).value
-    batch = pa.table({"lang": [p[0] for p in phrases], "phrase": [p[1] for p in phrases]}).to_batches()[0]
-    place = np.concatenate([b.column("bit").to_numpy() for b in collocations._places([batch])])
-    assert np.all((bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1)
-    assert np.unpackbits(bits).sum() == len(set(place.tolist()))
+def test_no_hash_is_lost_in_a_bitmap(spark, monkeypatch):
+    hashes = np.random.default_rng(0).integers(0, 2**64, 5000, dtype=np.uint64)
+    df = spark.createDataFrame([(int(h),) for h in hashes.view(np.int64)], "hash long")
+    for least, most in ((20, 30), (17, 18), (22, 22)):
+        monkeypatch.setattr(collocations, "LEAST_BITS", least)
+        monkeypatch.setattr(collocations, "MOST_BITS", most)
+        bits = collocations.bitmap(spark, df).value
+        assert (1 << least) <= 8 * len(bits) <= (1 << most)
+        assert collocations.is_set(bits, hashes).all()
+        assert np.unpackbits(bits).sum() == len(set((hashes >> np.uint64(64 - len(bits).bit_length() - 2)).tolist()))
