@@ -18,13 +18,14 @@ WIDTHS = np.array([60, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 
 def _bits(values: np.ndarray) -> np.ndarray:
     """Bits of each value, at least one."""
-    out = np.ones(len(values), np.int64)
+    if values.max() < 1 << 53:
+        return np.maximum(np.frexp(values.astype(np.float64))[1], 1).astype(np.int8)
+    out = np.ones(len(values), np.int8)
     rest = values.copy()
     for step in (32, 16, 8, 4, 2, 1):
         more = rest >= (np.uint64(1) << np.uint64(step))
-        if more.any():
-            out += np.where(more, step, 0)
-            rest = np.where(more, rest >> np.uint64(step), rest)
+        out += np.where(more, np.int8(step), np.int8(0))
+        rest = np.where(more, rest >> np.uint64(step), rest)
     return out
 
 
@@ -39,16 +40,24 @@ def encode(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarr
     if not n:
         return values, np.zeros(0, np.int64), values, np.zeros(0, np.int64)
     bits = _bits(values)
-    limit = np.minimum((np.arange(n) // block + 1) * block, n)
-    selector = np.where(bits > 60, 0, len(COUNTS) - 1)
+    # Values up to the end of each one's block, as far as a word could take them.
+    place = np.arange(n)
+    room = np.minimum(np.minimum(block - place % block, n - place), COUNTS.max()).astype(np.int8)
+    selector = np.where(bits > 60, np.int8(0), np.int8(len(COUNTS) - 1))
+    # The widest of so many values from each place on; each is made of two overlapping shorter runs.
+    widest, length = bits, 1
     for s in range(len(COUNTS) - 2, 0, -1):
-        # The first later place that is too wide or in another block.
-        stop = np.where(bits > WIDTHS[s], np.arange(n), n)
-        stop = np.minimum(np.minimum.accumulate(stop[::-1])[::-1], limit)
-        wide = stop - np.arange(n) >= COUNTS[s]
-        if not wide.any() and WIDTHS[s] < bits.min():
+        if COUNTS[s] > n:
             break
-        selector[wide] = s
+        shift = COUNTS[s] - length
+        longer = widest.copy()
+        longer[: n - shift] = np.maximum(widest[: n - shift], widest[shift:])
+        widest, length = longer, COUNTS[s]
+        fits = (widest <= WIDTHS[s]) & (room >= COUNTS[s])
+        # More values of fewer bits hold some of more bits, so no later selector fits either.
+        if not fits.any():
+            break
+        selector[fits] = s
     step = COUNTS[selector]
     # All blocks are followed at once.
     at = np.arange(blocks) * block
@@ -64,8 +73,10 @@ def encode(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarr
     words = chosen.astype(np.uint64) << np.uint64(60)
     for s in range(1, len(COUNTS)):
         which = np.flatnonzero(chosen == s)
+        first, body = starts[which], np.zeros(len(which), np.uint64)
         for k in range(COUNTS[s] if len(which) else 0):
-            words[which] |= values[starts[which] + k] << np.uint64(k * WIDTHS[s])
+            body |= values[first + k] << np.uint64(k * WIDTHS[s])
+        words[which] |= body
     of_block = starts // block
     escaped = chosen == 0
     escapes = np.bincount(of_block[escaped], minlength=blocks)

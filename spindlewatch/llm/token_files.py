@@ -8,6 +8,7 @@ its first escape, so that any block can be decoded by itself.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -19,13 +20,15 @@ from pyspark.sql import functions as F
 
 from spindlewatch.llm import simple8b
 from spindlewatch.llm.files import make_folder, new_file, read_range
-from spindlewatch.llm.pieces import Dictionary
+from spindlewatch.llm.pieces import BytesDictionary, spread
 from spindlewatch.llm.words import Words, slices
 from spindlewatch.shared import scratch_path, written
 
 MAGIC = b"SPIDS8B1"
 FILE_IDS = 1 << 25
-_SLICE = 2 << 20
+_SLICE = 4 << 20
+# So many pieces are one text for the library.
+_TOGETHER = 256
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
@@ -33,6 +36,54 @@ _STOP = np.zeros(256, bool)
 _STOP[list(b".,;:!?")] = True
 
 
+class _Together:
+    """Ids of pieces, many of them encoded as one text with spaces between them, which saves an Encoding for each.
+
+    A piece of letters alone is one word to the tokenizer, so its ids end with the first that ends a word; should a lot
+    have more words than pieces, as normalisation may part letters from marks, and for all other pieces, offsets tell.
+    """
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+        suffix = json.loads(tokenizer.to_str())["model"].get("end_of_word_suffix")
+        vocabulary = tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        if suffix:
+            self.ends[[number for token, number in vocabulary.items() if token.endswith(suffix)]] = True
+
+    def __call__(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        words = np.fromiter(map(str.isalpha, pieces), bool, len(pieces))
+        order = np.argsort(~words, kind="stable")
+        pieces = [pieces[k] for k in order.tolist()]
+        lots = [pieces[at : at + _TOGETHER] for at in range(0, len(pieces), _TOGETHER)]
+        plain = int(words.sum()) // _TOGETHER
+        found = self._by_word_ends(lots[:plain]) + self._by_offsets(lots[plain:])
+        ids, counts = map(np.concatenate, zip(*found, strict=True))
+        starts = np.empty(len(pieces), np.int64)
+        sizes = np.empty(len(pieces), np.int64)
+        starts[order], sizes[order] = np.cumsum(counts) - counts, counts
+        return ids[spread(starts, sizes)], sizes
+
+    def _by_word_ends(self, lots: list[list[str]]) -> list[tuple[np.ndarray, np.ndarray]]:
+        out = []
+        for lot, found in zip(lots, self.tokenizer.encode_batch_fast([" ".join(lot) for lot in lots], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, np.uint32)
+            last = np.flatnonzero(self.ends[ids])
+            if len(last) == len(lot) and last[-1] == len(ids) - 1:
+                out.append((ids, np.diff(last, prepend=-1)))
+            else:
+                out += self._by_offsets([lot])
+        return out
+
+    def _by_offsets(self, lots: list[list[str]]) -> list[tuple[np.ndarray, np.ndarray]]:
+        out = []
+        for lot, found in zip(lots, self.tokenizer.encode_batch([" ".join(lot) for lot in lots], add_special_tokens=False), strict=True):
+            begins = np.cumsum([0, *(len(piece) + 1 for piece in lot[:-1])])
+            places = np.fromiter((start for start, _ in found.offsets), np.int64, len(found.ids))
+            out.append((np.array(found.ids, np.uint32), np.bincount(np.searchsorted(begins, places, "right") - 1, minlength=len(lot))))
+        return out
+
+
 class WordEncoder:
     """Ids of whole texts by a tokenizer that drops white space, lower-cases, and never joins a letter to punctuation.
 
@@ -45,7 +96,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        self.dictionary = Dictionary(lambda pieces: [e.ids for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)])
+        self.dictionary = BytesDictionary(_Together(tokenizer))
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of ids of each text."""

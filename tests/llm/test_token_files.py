@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from spindlewatch.llm import simple8b, token_files
+from spindlewatch.llm.pieces import BytesDictionary, flat
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 HARD = [
@@ -87,3 +89,31 @@ def test_any_part_of_a_file_can_be_read(spark, documents):
             a, b = min(a, len(own)), min(b, len(own))
             assert np.array_equal(reader.ids(a, b), own[a:b])
     assert files.agg(F.sum("docs")).first()[0] == 200
+
+
+def test_the_dictionary_forgets_the_older_half():
+    seen = []
+
+    def encode(names):
+        seen.extend(names)
+        return flat([[ord(c) for c in name] for name in names])
+
+    known = BytesDictionary(encode, most=6)
+    for words in (["a", "bb", "a"], ["ccc", "dd", "e"], ["ff", "g"], ["h"], ["h", "a", "ff", "bb", ""], ["x" * 3000], ["dd"]):
+        data = np.frombuffer("".join(words).encode(), np.uint8)
+        ids, counts = known(data, np.concatenate([[0], np.cumsum([len(w) for w in words])]))
+        assert counts.tolist() == [len(w) for w in words] and bytes(ids.astype(np.uint8)).decode() == "".join(words)
+    assert seen.count("a") == 2 and seen.count("ff") == 1
+
+
+def test_pieces_encoded_together_have_the_ids_they_have_alone():
+    rng = random.Random(5)
+    tokenizer = Tokenizer.from_file(PATH)
+    odd = [chr(c) for c in (0x85, 0xA0, 0x300, 0x308, 0xDF, 0x130, 0x200B, 0x200D, 0x3000, 0x4E00, 0xAC00, 0x1161, 0x1F600, 0xFE0F, 0xFB01, 0x0)]
+    pieces = ["".join(rng.choice([*"abcXYZ019'<|>-.", *odd]) for _ in range(rng.randrange(1, 7))) for _ in range(5000)]
+    pieces += ["".join(rng.choice("abcdefgéßñ\u0958ก") for _ in range(rng.randrange(1, 9))) for _ in range(5000)]
+    pieces += ["<|endoftext|>", "a<|endoftext|>b", "'s", "\u0308", "\u200d", " "] * 9
+    rng.shuffle(pieces)
+    ids, counts = token_files._Together(tokenizer)(pieces)
+    alone, each = flat([e.ids for e in tokenizer.encode_batch(pieces, add_special_tokens=False)])
+    assert np.array_equal(counts, each) and np.array_equal(ids, alone)
