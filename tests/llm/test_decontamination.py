@@ -34,10 +34,12 @@ def test_verbatim_and_new_parameters(spark, documents):
         (7, f"{PROSE} {' '.join(half.split()[:12])} {PROSE}"),
         (8, PROSE), (9, None), (10, ""), (11, f"{PROSE}, {plain}, {ITEM}"), (None, ITEM), (1, PROSE),
         (12, "so short words only here now"), (13, "Short, words: only here now!"), (14, "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18 19 20"),
+        (15, STORY.replace("Alice holds", "Bob holds").replace("12", "31").replace("5 pears", "6 pears")),
     ]
+    # Row 5 has names that do not fit, but 17 tokens of the item as they are; row 15 has no such run.
     assert found(spark, documents, rows) == sorted([
-        (1, [1]), (2, [1]), (3, [1]), (4, [2]), (5, []), (6, [6]), (7, []), (8, []), (9, []), (10, []), (11, [1, 6]), (None, [1]), (1, []),
-        (12, []), (13, [5]), (14, []),
+        (1, [1]), (2, [1]), (3, [1]), (4, [2]), (5, [2]), (15, []), (6, [6]), (7, []), (8, []), (9, []), (10, []), (11, [1, 6]), (None, [1]), (1, []),
+        (12, [5]), (13, [5]), (14, []),
     ], key=str)
 
 
@@ -52,7 +54,7 @@ def test_items_dense_in_placeholders(spark, documents):
         (8, "is 17 times 3 over 50"), (9, "is 18 times 4 over 51"), (10, "Is 5 over 4"),
     ]
     assert found(spark, documents, rows, items) == sorted([
-        (1, [1]), (2, [1]), (3, [1]), (4, []), (5, [2]), (6, []), (7, []), (8, [3]), (9, []), (10, []),
+        (1, [1]), (2, [1]), (3, [1]), (4, []), (5, [2]), (6, []), (7, []), (8, [3]), (9, []), (10, [4]),
     ], key=str)
 
 
@@ -67,6 +69,7 @@ def test_beyond_the_broadcast_bound_nothing_changes(spark, documents, monkeypatc
     expected = found(spark, documents, rows)
     monkeypatch.setattr(d, "BROADCAST_ROWS", 0)
     monkeypatch.setattr(d, "BROADCAST_LEAKS", 0)
+    monkeypatch.setattr(d, "BROADCAST_BYTES", 0)
     assert found(spark, documents, rows) == expected
 
 
@@ -85,30 +88,43 @@ def tokens(text):
 
 
 def brute(rows, items):
-    def windows(ts):
-        shape = [k or w for k, w in ts]
-        return [tuple(shape[a : a + 8]) for a in range(len(ts) - 7)]
-
-    slots_of = lambda ts, a: sum(k is not None for k, _ in ts[a : a + 8])
-    known, templates = {}, {}
-    for n, text in items:
-        templates[n] = item = tokens(text)
-        for a, w in enumerate(windows(item)):
-            if slots_of(item, a) <= 3:
-                known.setdefault(w, []).append((n, a))
-    sizes = {n: sum(slots_of(item, a) <= 3 for a in range(len(item) - 7)) for n, item in templates.items()}
+    def windows(ts, width):
+        if len(ts) < width or (width < 5 and len(ts) != width):
+            return {}
+        out = {}
+        for a in range(len(ts) - width + 1):
+            own = ts[a : a + width]
+            literals = sum(k is None for k, _ in own)
+            out[a] = tuple(own) if literals < (1 if width == 8 else 4) else tuple(k or w for k, w in own)
+        return out
+
     out = []
     for i, text in rows:
-        doc, diagonals, hits = tokens(text), {}, set()
-        for b, w in enumerate(windows(doc)):
-            for n, a in known.get(w, ()):
-                diagonals.setdefault((n, b - a), set()).add(a)
-        for (n, shift), places in diagonals.items():
-            item = templates[n]
-            pairs = {(item[a], doc[a + shift]) for a in range(len(item)) if 0 <= a + shift < len(doc) and item[a][0] and item[a][0] == doc[a + shift][0]}
-            alike = len(pairs) == len({x for x, _ in pairs}) == len({y for _, y in pairs})
-            if len(places) >= min(6, sizes[n]) and (alike or not any(slots_of(item, a) for a in places)):
-                hits.add(n)
+        doc, hits = tokens(text), set()
+        for n, item_text in items:
+            item = tokens(item_text)
+            width = min(8, len(item))
+            own, theirs = windows(item, width), windows(doc, width)
+            dense = {a: width == 8 and sum(k is not None for k, _ in item[a : a + 8]) > 3 for a in own}
+            diagonals = {}
+            for b, w in theirs.items():
+                for a, v in own.items():
+                    if v == w:
+                        diagonals.setdefault(b - a, set()).add(a)
+            for shift, places in diagonals.items():
+                sparse = [a for a in places if not dense[a]]
+                sure = sparse and len(sparse) >= min(6, sum(not x for x in dense.values()))
+                plain = sure and not any(item[b][0] for a in sparse for b in range(a, a + width))
+                run = width + min(6, len(own)) - 1
+                verbatim = any(a + run <= len(item) and item[a : a + run] == doc[a + shift : a + shift + run] for a in places)
+                covered = {b for a in places for b in range(a, a + width)}
+                pairs = {(item[b], doc[b + shift]) for b in covered if item[b][0]}
+                function = len(pairs) == len({x for x, _ in pairs})
+                kept_apart = {p for p in pairs if not sure or p[0][0] == "@"}
+                consistent = function and len(kept_apart) == len({y for _, y in kept_apart})
+                long = len(places) >= min(12, len(own)) and sum(item[b][0] is None for b in covered) >= 5
+                if plain or verbatim or ((sure or long) and consistent):
+                    hits.add(n)
         out.append((i, sorted(hits)))
     return sorted(out, key=str)
 
@@ -122,7 +138,9 @@ def test_random_templates_equal_the_definition(spark, documents, seed):
                  lambda: rng.choice(["Anna", "Bert"]), lambda: rng.choice(["km", "hours", "4.5", "dog.", "cat,"])]
         return " ".join(rng.choices(kinds, [4, 6, 2, 1, 1])[0]() for _ in range(n))
 
-    items = [(i, prose(rng.randrange(14, 30))) for i in range(8)]
+    items = [(i, prose(rng.randrange(14, 30))) for i in range(8)] + [(8 + i, prose(3 + i)) for i in range(6)]
+    dense = lambda n: " ".join(rng.choice([str(rng.randrange(99)), "of", "Anna", "7", f"w{'abcd'[rng.randrange(4)]}"]) for _ in range(n))
+    items += [(20 + i, "so " + dense(rng.randrange(12, 40))) for i in range(6)]
     rows = []
     for i in range(60):
         text = rng.choice(items)[1]
@@ -134,6 +152,46 @@ def test_random_templates_equal_the_definition(spark, documents, seed):
     assert found(spark, documents, rows, items) == brute(rows, items)
 
 
+CHANGES = {
+    "verbatim": lambda w: w,
+    "new numbers": lambda w: re.sub(r"\d+", lambda m: str(int(m[0]) * 3 + 1), w),
+    "equal numbers": lambda w: re.sub(r"\d+", "70", w),
+    "new names": lambda w: {"Alice": "Yvonne", "Paris": "Oslo"}.get(w, w),
+    "new units": lambda w: {"km": "miles", "kg": "pounds"}.get(w, w),
+}
+
+
+def test_recall_of_changed_items_and_clean_prose(spark, documents):
+    """Every item of the benchmark, with numbers, names and units put between its words, changed and set in prose."""
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").orderBy("item_id").collect() if r.text]
+    items = []
+    for n, text in enumerate(texts):
+        words = re.findall(r"[a-z]+", text.lower())
+        for at, put in zip((14, 11, 8, 5, 2), (f"{n + 300} kg", "Paris", f"{n + 11}", "Alice", f"{n + 5} km")):
+            if at < len(words):
+                words.insert(at, put)
+        items.append((n, " ".join(words)))
+    changed = {name: [" ".join(change(w) for w in text.split()) for _, text in items] for name, change in CHANGES.items()}
+    rows = [(1000 * k + n, f"{PROSE}, {text}. {PROSE}") for k, name in enumerate(CHANGES) for n, text in enumerate(changed[name])]
+    rows += [(10_000 + n, f"{PROSE} {n} {STORY} {n + 7} {PROSE}") for n in range(20)]
+    got = dict(found(spark, documents, rows, items))
+    assert all(got[10_000 + n] == [] for n in range(20))
+    for k, name in enumerate(CHANGES):
+        assert (name == "verbatim") == (changed[name] == [text for _, text in items])
+        recall = sum(n in got[1000 * k + n] for n in range(len(items))) / len(items)
+        print(f"recall, {name}: {recall:.3f} of {len(items)}")
+        assert recall >= 0.9
+
+
+def test_short_items_in_documents(spark, documents):
+    items = [(1, "What is 12 plus 7?"), (2, "Name the capital of France."), (3, "Yes."), (4, "the of")]
+    rows = [
+        (1, f"{PROSE}. What is 12 plus 7? {PROSE}"), (2, f"{PROSE} what is 13 plus 8 {PROSE}"), (3, f"{PROSE}. Name the capital of Spain. {PROSE}"),
+        (4, f"{PROSE}. Name the river of France. {PROSE}"), (5, "yes"), (6, "Yes of course the of"), (7, "the of"),
+    ]
+    assert found(spark, documents, rows, items) == [(1, [1]), (2, []), (3, [2]), (4, []), (5, [3]), (6, []), (7, [4])]
+
+
 def test_the_query_lists_every_document(spark):
     sf_dir = "/root/testdata/sf0.001"
     rows = op4_decontamination(spark, sf_dir).collect()
