@@ -22,6 +22,7 @@ from spindlewatch.sinks.timing_log import append_timings
 from spindlewatch.sources.events_view import raw_telemetry, read_events, reset_telemetry, timing_log
 from spindlewatch.sources.tables import read_bucketed, read_raw, read_result, read_telemetry, read_timing_log
 from spindlewatch.streaming.ingest import ingest, raw_stream
+from spindlewatch.streaming.ordered import ingest_ordered
 from spindlewatch.streaming.views import DiskState, FailureCounts, VaultDayChanges, View
 
 try:
@@ -151,6 +152,27 @@ def _stream_vault_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view.read(spark)
 
 
+def _stream_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All telemetry in order of its days, one file for each quarter of them, the first one twice."""
+    directory, raw = scratch_path(spark, "arriving"), _raw(spark, sf_dir)
+    days = [r.date for r in raw.select("date").distinct().orderBy("date").collect()]
+    quarters = [days[i * len(days) // 4 : (i + 1) * len(days) // 4] for i in range(4)]
+    for number, arrived in enumerate([quarters[0], *quarters]):
+        raw.where(F.col("date").isin(arrived)).coalesce(1).write.parquet(f"{directory}/{number}")
+    stream = raw_stream(spark, f"{directory}/*", raw.schema, maxFilesPerTrigger=1)
+    path = scratch_path(spark, "ordered")
+    ingest_ordered(stream, path, scratch_path(spark, "ordered-state"), delay="1 day")
+    return read_telemetry(spark, path)
+
+
+def _table_function(call: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        sql_reports.register_functions(spark, _cleaned(spark, sf_dir))
+        return spark.sql(f"SELECT * FROM {call}")
+
+    return run
+
+
 def _shared_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
     directory = scratch_path(spark, "results")
     partial = job.materialize(failures.failures_by_vault_model(_cleaned(spark, sf_dir)), f"{directory}/partial")
@@ -222,6 +244,7 @@ def _telemetry_queries() -> dict[str, Query]:
         "telemetry_bucketed": _bucketed,
         "csv_roundtrip": _csv_roundtrip,
         "stream_ingest": _stream_ingest,
+        "stream_ordered": _stream_ordered,
         "disk_state_incremental": _disk_state,
         "disk_state_sketches": _disk_state_sketches,
         "failure_counts_incremental": _failure_counts_kept,
@@ -264,6 +287,7 @@ def _telemetry_queries() -> dict[str, Query]:
         "top_models_k4": _on_cleaned(lambda df: reports.top_models(df, 4)),
         "top_vaults": _on_cleaned(reports.top_vaults),
         "top_vaults_k4": _on_cleaned(lambda df: reports.top_vaults(df, 4)),
+        "rankings_one_pass": _on_cleaned(reports.rankings),
         # Power-on hours
         "disk_collapse": _on_cleaned(disks.disk_collapse),
         "disk_collapse_bucketed": lambda spark, sf_dir: disks.disk_collapse(_bucketed(spark, sf_dir)),
@@ -288,6 +312,10 @@ def _telemetry_queries() -> dict[str, Query]:
         "sql_hours_stats": _sql(
             lambda spark, df: sql_reports.hours_stats_sql(spark, df, accuracy=FINE_ACCURACY)
         ),
+        "sql_function_vault_days": _table_function("vault_days()"),
+        "sql_function_top_models": _table_function("top_models(4)"),
+        "sql_function_top_vaults": _table_function("top_vaults(k => 4)"),
+        "sql_function_hours_stats": _table_function("hours_stats()"),
         # The whole job, and the run-time harness
         "job_vault_days": _job("query1", "core"),
         "job_top_vaults_sql": _job("sql-query2-2", "sql"),
@@ -411,6 +439,7 @@ def oracle_sql() -> dict[str, str]:
         "telemetry_bucketed": "SELECT * FROM cleaned",
         "csv_roundtrip": _TOP_VAULTS.format(k=10),
         "stream_ingest": "SELECT * FROM cleaned",
+        "stream_ordered": "SELECT * FROM cleaned",
         "disk_state_incremental": (
             "SELECT serial_number, bool_or(failure) AS failure, max(s9_power_on_hours) AS s9_power_on_hours, "
             "arg_max(s9_power_on_hours, {'d': event_date, 'h': s9_power_on_hours}) AS latest_hours FROM cleaned GROUP BY serial_number"
@@ -463,6 +492,12 @@ def oracle_sql() -> dict[str, str]:
         "top_models_k4": _TOP_MODELS.format(k=4),
         "top_vaults": _TOP_VAULTS.format(k=10),
         "top_vaults_k4": _TOP_VAULTS.format(k=4),
+        "rankings_one_pass": (
+            "SELECT 'model' AS ranking, CAST(row_number() OVER (ORDER BY failures_count DESC, model) AS INTEGER) AS place, model AS name, "
+            f"failures_count, CAST(NULL AS VARCHAR) AS list_of_models FROM ({_TOP_MODELS.format(k=10)}) UNION ALL "
+            "SELECT 'vault', CAST(row_number() OVER (ORDER BY failures_count DESC, vault_id) AS INTEGER), CAST(vault_id AS VARCHAR), "
+            f"failures_count, list_of_models FROM ({_TOP_VAULTS.format(k=10)})"
+        ),
         "disk_collapse": "SELECT * FROM disks",
         "disk_collapse_bucketed": "SELECT * FROM disks",
         "disk_collapse_latest": "SELECT * FROM latest",
@@ -482,6 +517,10 @@ def oracle_sql() -> dict[str, str]:
         "sql_top_models": _TOP_MODELS.format(k=10),
         "sql_top_vaults": _TOP_VAULTS.format(k=10),
         "sql_hours_stats": _STATS_APPROX,
+        "sql_function_vault_days": _VAULT_DAYS,
+        "sql_function_top_models": _TOP_MODELS.format(k=4),
+        "sql_function_top_vaults": _TOP_VAULTS.format(k=4),
+        "sql_function_hours_stats": _stats_sql("disks", _STATS),
         "job_vault_days": _VAULT_DAYS,
         "job_top_vaults_sql": _TOP_VAULTS.format(k=10),
         "job_hours_stats": _stats_sql("disks", _STATS),
