@@ -87,9 +87,14 @@ def _hash(template: Column, tokens: Column, at: Column, width: Column | int) ->
     """The hash of the window of so many tokens. Windows of placeholders alone, as any table of numbers has their shape,
     and short ones with few words beside them are hashed by what stands in them."""
     own = F.slice(template, at + 1, width)
-    literals = F.size(own) - F.size(F.filter(own, _is_slot))
-    needed = F.when(F.size(own) == WINDOW, 1).otherwise(LEAST_SHORT_LITERALS)
-    return F.when(literals < needed, F.xxhash64(F.slice(tokens, at + 1, width))).otherwise(F.xxhash64(own))
+    # Most windows begin with a word, so that the others need not be looked at.
+    bare = _is_slot(F.get(template, at)) & F.forall(own, _is_slot)
+    short = F.size(F.filter(own, lambda token: ~_is_slot(token))) < LEAST_SHORT_LITERALS
+    if not isinstance(width, int):
+        bare = bare | (F.size(own) < WINDOW) & short
+    elif width < WINDOW:
+        bare = short
+    return F.when(bare, F.xxhash64(F.slice(tokens, at + 1, width))).otherwise(F.xxhash64(own))
 
 
 def _windows(template: str, tokens: str, widths: list[int]) -> Column:
