@@ -36,7 +36,7 @@ def test_verbatim_and_new_parameters(spark, documents):
         (12, "so short words only here now"), (13, "Short, words: only here now!"), (14, "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18 19 20"),
         (15, STORY.replace("Alice holds", "Bob holds").replace("12", "31").replace("5 pears", "6 pears")),
     ]
-    # Row 5 has names that do not fit, but 17 tokens of the item as they are; row 15 has no such run.
+    # Row 5 has names that do not fit, but 16 tokens of the item as they are; row 15 has no such run.
     assert found(spark, documents, rows) == sorted([
         (1, [1]), (2, [1]), (3, [1]), (4, [2]), (5, [2]), (15, []), (6, [6]), (7, []), (8, []), (9, []), (10, []), (11, [1, 6]), (None, [1]), (1, []),
         (12, [5]), (13, [5]), (14, []),
