@@ -16,10 +16,12 @@ from spindlewatch.operators import cleaning, disks, failures
 from spindlewatch.plans import job, reports, sql_reports, timing
 from spindlewatch.schema import QUARTILES, RAW_COLUMNS, TOP_MODELS, TOP_VAULTS, VAULT_DAYS
 from spindlewatch.shared import scratch_path
+from spindlewatch.sinks.committed import FolderStore, export_committed
 from spindlewatch.sinks.key_value import to_key_value
 from spindlewatch.sinks.tables import write_bucketed, write_result, write_telemetry
 from spindlewatch.sinks.timing_log import append_timings
 from spindlewatch.sources.events_view import raw_telemetry, read_events, reset_telemetry, timing_log
+from spindlewatch.sources.mixed import read_raw_groups
 from spindlewatch.sources.tables import read_bucketed, read_raw, read_result, read_telemetry, read_timing_log
 from spindlewatch.streaming.ingest import ingest, raw_stream
 from spindlewatch.streaming.ordered import ingest_ordered
@@ -81,6 +83,24 @@ def _raw_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_raw(spark, path, "parquet")
 
 
+def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw telemetry in three sets of files, of which one has its hours as numbers and one its days as dates."""
+    path, raw = scratch_path(spark, "mixed"), _raw(spark, sf_dir)
+    part = F.pmod(F.xxhash64("serial_number"), F.lit(3))
+    raw.where(part == 0).write.parquet(path)
+    raw.where(part == 1).withColumn("s9_power_on_hours", F.col("s9_power_on_hours").try_cast("double")).write.mode("append").parquet(path)
+    raw.where(part == 2).withColumn("date", F.col("date").try_cast("date")).write.mode("append").parquet(path)
+    return cleaning.clean_groups(read_raw_groups(spark, path))
+
+
+def _committed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = FolderStore(scratch_path(spark, "store"))
+    pairs = to_key_value(reports.vault_days(_cleaned(spark, sf_dir)), VAULT_DAYS)
+    for _ in range(2):
+        export_committed(pairs, store, "query1")
+    return store.read(spark)
+
+
 def _telemetry_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "telemetry")
     write_telemetry(_cleaned(spark, sf_dir), path)
@@ -240,6 +260,8 @@ def _telemetry_queries() -> dict[str, Query]:
     return {
         # Sources and sinks
         "scan_parquet": _raw_roundtrip,
+        "scan_mixed_types": _mixed,
+        "result_json_committed": _committed,
         "telemetry_roundtrip": _telemetry_roundtrip,
         "telemetry_bucketed": _bucketed,
         "csv_roundtrip": _csv_roundtrip,
@@ -432,9 +454,17 @@ _STATS_APPROX = (
 )
 
 
+_JSON_BY_DAY = (
+    "SELECT concat('query1/', event_date) AS key, CAST(to_json(list({'event_date': CAST(event_date AS VARCHAR), "
+    "'vault_id': vault_id, 'failures_count': failures_count} ORDER BY vault_id)) AS VARCHAR) AS value "
+    f"FROM ({_VAULT_DAYS}) GROUP BY event_date"
+)
+
+
 def oracle_sql() -> dict[str, str]:
     bodies = {
         "scan_parquet": "SELECT * FROM raw",
+        "scan_mixed_types": "SELECT * FROM cleaned",
         "telemetry_roundtrip": "SELECT * FROM cleaned",
         "telemetry_bucketed": "SELECT * FROM cleaned",
         "csv_roundtrip": _TOP_VAULTS.format(k=10),
@@ -452,11 +482,8 @@ def oracle_sql() -> dict[str, str]:
             "ORDER BY failures_count DESC, model)) AS VARCHAR) AS value "
             f"FROM ({_TOP_MODELS.format(k=10)})"
         ),
-        "result_json_by_day": (
-            "SELECT concat('query1/', event_date) AS key, CAST(to_json(list({'event_date': CAST(event_date AS VARCHAR), "
-            "'vault_id': vault_id, 'failures_count': failures_count} ORDER BY vault_id)) AS VARCHAR) AS value "
-            f"FROM ({_VAULT_DAYS}) GROUP BY event_date"
-        ),
+        "result_json_by_day": _JSON_BY_DAY,
+        "result_json_committed": _JSON_BY_DAY,
         "timing_log_append": "SELECT * FROM log",
         "shared_partial": (
             f"SELECT model AS name, failures_count FROM ({_TOP_MODELS.format(k=10)}) UNION ALL "

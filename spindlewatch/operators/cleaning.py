@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType
@@ -77,3 +80,14 @@ def clean(df: DataFrame, dedup: str | None = "projected", strict_ids: bool = Fal
         raise ValueError(f"dedup must be 'projected', 'raw' or None, not {dedup!r}")
     valid = filter_model(filter_serial(drop_nulls(cast_project(complete)), strict_ids), strict_ids)
     return dedup_rows(valid) if dedup else valid
+
+
+def clean_groups(groups: Sequence[DataFrame], dedup: str | None = "projected", strict_ids: bool = False) -> DataFrame:
+    """:func:`clean` over raw tables whose columns may differ in type, with duplicates removed across all of them.
+
+    Rows of different types have no raw form in common, so ``dedup="raw"`` is refused.
+    """
+    if dedup not in ("projected", None):
+        raise ValueError(f"dedup must be 'projected' or None for files of several types, not {dedup!r}")
+    rows = reduce(DataFrame.unionByName, [clean(group, None, strict_ids) for group in groups])
+    return dedup_rows(rows) if dedup else rows

@@ -7,7 +7,7 @@ from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spindlewatch.operators.cleaning import clean
+from spindlewatch.operators.cleaning import clean, clean_groups
 from spindlewatch.operators.failures import failures_by_day_vault_model, failures_by_vault_model
 from spindlewatch.plans import reports, sql_reports
 from spindlewatch.plans.timing import mean_times, session_workers, timed
@@ -15,6 +15,7 @@ from spindlewatch.schema import AVERAGES, HOURS_STATS, REPORTS, TOP_MODELS, TOP_
 from spindlewatch.sinks.key_value import to_key_value
 from spindlewatch.sinks.tables import write_bucketed, write_result, write_telemetry
 from spindlewatch.sinks.timing_log import append_timings, timing_frame
+from spindlewatch.sources.mixed import read_raw_groups
 from spindlewatch.sources.tables import read_bucketed, read_raw, read_result, read_telemetry, read_timing_log
 
 # Query selectors, the queries' names and the reports each one writes.
@@ -47,16 +48,21 @@ def prepare(
     dedup: str | None = "projected",
     cluster_by: str | None = None,
     buckets: int | None = None,
+    mixed: bool = False,
 ) -> DataFrame:
     """Clean the raw table into ``clean_path`` and return what was written there.
 
+    ``mixed`` admits parquet files whose columns differ in type (:func:`spindlewatch.sources.mixed.read_raw_groups`).
+
     The layout is plain unless ``cluster_by`` (:func:`spindlewatch.sinks.tables.write_telemetry`) or, for parquet,
     ``buckets`` (:func:`spindlewatch.sinks.tables.write_bucketed`) asks for another, which cost a shuffle and pay for large
     tables that are reported on repeatedly.
     """
     if buckets is not None and (fmt != "parquet" or cluster_by):
         raise ValueError("a bucketed table is parquet, without cluster_by")
-    cleaned = clean(read_raw(spark, raw_path, fmt), dedup)
+    if mixed and fmt != "parquet":
+        raise ValueError("files of several types must be parquet")
+    cleaned = clean_groups(read_raw_groups(spark, raw_path), dedup) if mixed else clean(read_raw(spark, raw_path, fmt), dedup)
     if buckets is None:
         write_telemetry(cleaned, clean_path, fmt, cluster_by=cluster_by)
     else:
