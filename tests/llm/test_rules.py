@@ -54,7 +54,29 @@ def test_rules_go_by_rejections_per_second(spark, documents):
     never, half, always = Rule("never", "true"), Rule("half", "right(text, 1) < '5'"), Rule("always", "n_words < 0")
     slow = Rule("slow", "sha2(repeat(text, 20000), 256) = ''")
     order = [r.name for r in rules.ordered_rules(spark, docs, [never, slow, half, always])]
-    assert order[-1] == "never" and order.index("always") < order.index("slow")
+    # What always rejects leaves nothing to the others, which stay in their order.
+    assert order == ["always", "never", "slow", "half"]
+
+
+def test_a_costly_rule_with_few_rejections_comes_last_each_time(spark, documents):
+    docs = documents([(i, f"{CLEAN} {i}") for i in range(400)] + [(i, "short") for i in range(400, 800)])
+    few = Rule("few", "right(text, 2) <> '99' AND sha2(repeat(text, 2000), 256) <> ''")
+    half = Rule("half", "right(text, 1) < '5'")
+    # It rejects texts that the base has rejected before.
+    idle = Rule("idle", "n_words >= 20")
+    tenth = Rule("tenth", "right(text, 1) <> '3'")
+    for _ in range(5):
+        order = [r.name for r in rules.ordered_rules(spark, docs, [few, idle, tenth, half])]
+        assert order == ["half", "tenth", "few", "idle"]
+
+
+def test_rates_count_what_the_rules_before_left():
+    a, b, c, idle = (Rule(name, "true") for name in ("a", "b", "c", "idle"))
+    # b rejects many, but nearly all of them with a; c rejects few others.
+    patterns = [((True, True, False, False), 50), ((True, False, False, False), 10), ((False, True, False, False), 1), ((False, False, True, False), 5)]
+    assert rules.by_rate([b, idle, c, a], [1, 1, 1, 1], [((p[1], p[3], p[2], p[0]), n) for p, n in patterns]) == [a, c, b, idle]
+    assert rules.by_rate([a, b, c, idle], [100, 1, 1, 1], patterns) == [b, c, a, idle]
+    assert rules.by_rate([a, b], [1, 1], []) == [a, b]
 
 
 def test_the_cascade_stops_at_the_first_rejection(spark, documents):
