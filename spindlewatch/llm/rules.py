@@ -34,6 +34,8 @@ class Rule:
     passes: str
 
 
+# Characters are counted by what goes when runs of them are cut out: a count of matches makes a string of each.
+_LETTERS, _UPPER = (rf"(length(text) - length(regexp_replace(text, '\\p{{{kind}}}+', '')))" for kind in ("L", "Lu"))
 # Texts pass where symbols, word lengths, repeated lines, words that follow themselves, exclamation marks, letters in
 # upper case and other characters than letters are within bounds.
 RULES = (
@@ -42,8 +44,8 @@ RULES = (
     Rule("few_repeated_lines", "2 * n_dup_lines <= n_lines"),
     Rule("few_stutters", "10 * size(filter(hashes, (h, i) -> i > 0 AND h = get(hashes, i - 1))) <= 3 * n_words"),
     Rule("few_exclamations", r"10 * regexp_count(text, '!') <= n_words"),
-    Rule("mostly_lower_case", r"10 * regexp_count(text, '\\p{Lu}') <= 4 * regexp_count(text, '\\p{L}')"),
-    Rule("mostly_letters", r"2 * regexp_count(text, '\\p{L}') >= word_chars"),
+    Rule("mostly_lower_case", f"10 * {_UPPER} <= 4 * {_LETTERS}"),
+    Rule("mostly_letters", f"2 * {_LETTERS} >= word_chars"),
 )
 
 
