@@ -41,6 +41,8 @@ class Store(Protocol):
 class FolderStore:
     """A store in a folder that tasks and driver reach: one JSON file for each key, named by the key's hash.
 
+    Its file system must let a move replace a file.
+
     Publishing first notes the attempts, then moves their files one by one, each move replacing one key's pair as a whole.
     A driver that is lost between leaves the note, with which :meth:`recover` or the next run of that name goes on.
     """
